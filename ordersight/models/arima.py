@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.session import in_groups
+
 Z95 = 1.959963984540054
 PLAIN = (1, 1, 1)
 SEASONAL = (1, 1, 1, 7)
@@ -48,8 +50,12 @@ class Shape:
         self.P, self.D, self.Q, self.s = seasonal
         self.size = self.p + self.q + self.P + self.Q
 
+    def split(self, params: np.ndarray) -> list[np.ndarray]:
+        """Plain AR, plain MA, seasonal AR and seasonal MA coefficients."""
+        return np.split(params, np.cumsum([self.p, self.q, self.P]))
+
     def polynomials(self, params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ar, ma, sar, sma = np.split(params, np.cumsum([self.p, self.q, self.P]))
+        ar, ma, sar, sma = self.split(params)
         return lag_polynomial(ar, sar, self.s or 1, -1.0), lag_polynomial(ma, sma, self.s or 1, 1.0)
 
     def differencing(self) -> np.ndarray:
@@ -61,22 +67,30 @@ class Shape:
         return poly
 
 
-def innovations(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors of ``w`` given its first len(ar) - 1 values."""
+def undo_average(u: np.ndarray, coefficients: np.ndarray, stride: int) -> np.ndarray:
+    """Solve e_t = u_t - sum c_j e_(t - j stride) for a zero past."""
+    e = u.copy()
+    if len(coefficients) == 1:  # e_t = sum (-c)^j u_(t - j stride), summed by doubling
+        factor, shift = -coefficients[0], stride
+        while shift < len(e) and factor != 0.0:
+            e[shift:] = e[shift:] + factor * e[:-shift]
+            factor, shift = factor * factor, 2 * shift
+        return e
+    for t in range(stride, len(e)):
+        back = e[t - stride :: -stride][: len(coefficients)]
+        e[t] -= coefficients[: len(back)] @ back
+    return e
+
+
+def innovations(w: np.ndarray, shape: Shape, params: np.ndarray) -> np.ndarray:
+    """One-step errors of ``w`` given the values its autoregression needs."""
+    ar, _ = shape.polynomials(params)
+    _, ma, _, sma = shape.split(params)
     u = np.convolve(w, ar)[len(ar) - 1 : len(w)]
-    order = len(ma) - 1
-    if order == 0:
-        return u
-    inverse = np.zeros(len(u))
-    inverse[0] = 1.0
-    used = len(u)
-    for t in range(1, len(u)):
-        back = inverse[max(0, t - order) : t][::-1]
-        inverse[t] = -(ma[1 : len(back) + 1] @ back)
-        if t >= order and np.max(np.abs(inverse[t - order + 1 : t + 1])) < 1e-13:
-            used = t + 1
-            break
-    return np.convolve(u, inverse[:used])[: len(u)]
+    for coefficients, stride in ((sma, shape.s), (ma, 1)):
+        if len(coefficients):
+            u = undo_average(u, coefficients, stride)
+    return u
 
 
 def start_values(w: np.ndarray, shape: Shape) -> np.ndarray:
@@ -102,8 +116,7 @@ def minimise(w: np.ndarray, shape: Shape, params: np.ndarray, rounds: int = 60)
     """Levenberg-Marquardt on the innovations; steps leaving the admissible region are refused."""
 
     def errors(x: np.ndarray) -> np.ndarray | None:
-        ar, ma = shape.polynomials(x)
-        return innovations(w, ar, ma) if outside_unit_circle(ar) and outside_unit_circle(ma) else None
+        return innovations(w, shape, x) if all(outside_unit_circle(p) for p in shape.polynomials(x)) else None
 
     e = errors(params)
     if e is None:
@@ -203,7 +216,8 @@ def model_series(
     if not 1 <= steps <= 30:
         raise ValueError("steps must be within 1..30")
     present = series.select("series_key", "date", F.col(value).cast("double").alias("x")).where("x is not null")
-    return present.groupBy("series_key").applyInPandas(group_function(Shape(order, seasonal), steps), SCHEMA)
+    spread = in_groups(present, "series_key")
+    return spread.groupBy("series_key").applyInPandas(group_function(Shape(order, seasonal), steps), SCHEMA)
 
 
 def sarima_series(series: DataFrame, value: str = "daily_amount", steps: int = 7) -> DataFrame:

@@ -12,14 +12,14 @@ from ordersight.operators.scores import standardize
 from ordersight.schemas import FEATURES
 
 
-def feature_table(df: DataFrame, unknown_device: int = 1) -> DataFrame:
-    """Cleaned orders reduced to their key and the four model features."""
-    return with_features(clean(df), unknown_device).select("order_id", *FEATURES)
+def feature_table(df: DataFrame, unknown_device: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cleaned orders reduced to their key, the four model features and any further columns to ``keep``."""
+    return with_features(clean(df), unknown_device).select("order_id", *FEATURES, *keep)
 
 
-def scaled_features(df: DataFrame, ddof: int = 0) -> DataFrame:
+def scaled_features(df: DataFrame, ddof: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Key and z-scored features (population deviation unless ``ddof`` is 1)."""
-    return standardize(feature_table(df), list(FEATURES), ddof)
+    return standardize(feature_table(df, keep=keep), list(FEATURES), ddof)
 
 
 def scaler_stages(columns: list[str]) -> list:

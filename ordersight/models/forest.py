@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.operators.scores import minmax_score
+from ordersight.session import cut, in_groups
 
 EULER = 0.5772156649015329
 # The default forest and the search grid.
@@ -67,6 +68,7 @@ def tree_samples(features: DataFrame, key: str, cells: list[tuple[int, int]], se
         .withColumn("_draw", draw)
         .where(F.col("_draw") < F.col("limit"))
     )
+    dealt = in_groups(dealt, "cell", "tree", groups=sum(trees for trees, _ in cells))
     ranked = Window.partitionBy("cell", "tree").orderBy("_draw", key)
     return dealt.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= F.col("samples"))
 
@@ -181,6 +183,7 @@ def isolation_forest(
 ) -> DataFrame:
     """Every row with its min-max scaled isolation score."""
     cells = [(trees, samples)]
-    nodes = fit_forest(features, columns, key, cells, seed)
-    raw = forest_raw_scores(features, nodes, columns, cells)
-    return minmax_score(raw.withColumn("_raw", F.col("raw")[0]).drop("raw"), "_raw").drop("_raw")
+    raw = forest_raw_scores(features, fit_forest(features, columns, key, cells, seed), columns, cells)
+    # written once, because the min-max scaling reads the scores twice
+    written = cut(raw.withColumn("_raw", F.col("raw")[0]).drop("raw"))
+    return minmax_score(written, "_raw").drop("_raw")

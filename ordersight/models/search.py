@@ -45,7 +45,7 @@ def forest_grid_search(
         .withColumn("_cell", F.element_at(grid, F.col("cell") + 1))
         .select(
             "_cell.*",
-            "mean_score",
+            tidy(F.col("mean_score"), 6).alias("mean_score"),
             clamp(tidy(0.5 + F.col("mean_score") * 0.5, 3)).alias("proxy_auc"),
             "pseudo_auc",
             tidy(F.col("label_auc"), 4).alias("label_auc"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.operators.series import acf, first_difference
+from ordersight.session import in_groups
 
 # MacKinnon (1994) approximate p-value surface, constant, one variable.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -86,7 +87,7 @@ def adf_test(series: DataFrame, value: str = "daily_amount") -> DataFrame:
     """Unit-root test of every series, on its levels and on its first differences."""
 
     def run(frame: DataFrame, form: str) -> DataFrame:
-        tested = frame.where("x is not null").groupBy("series_key").applyInPandas(_adf_group, ADF_SCHEMA)
+        tested = in_groups(frame.where("x is not null"), "series_key").groupBy("series_key").applyInPandas(_adf_group, ADF_SCHEMA)
         return tested.withColumn("form", F.lit(form)).withColumn(
             "is_stationary", (F.col("p_value") < 0.05).cast("int")
         )

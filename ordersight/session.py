@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+MAX_TASKS = 16_384
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
@@ -35,3 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_dir(spark, "cut")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def cut_for_passes(df: DataFrame) -> DataFrame:
+    """``cut`` for a table read many times by CPU-heavy tasks: a small one gets a file per core."""
+    written = cut(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if written.rdd.getNumPartitions() >= cores:
+        return written
+    return cut(written.repartition(cores))
+
+
+def in_groups(df: DataFrame, *keys: str, groups: int | None = None) -> DataFrame:
+    """Shuffle by ``keys`` into a fixed number of tasks.
+
+    Adaptive execution merges small shuffle partitions by bytes, which would run groups that are
+    small but expensive one after the other; an explicit width is left alone.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(groups, max(width, MAX_TASKS)) if groups else width, *keys)

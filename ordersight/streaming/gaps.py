@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +19,18 @@ COLUMNS = [field.split()[0] for field in OUTPUT.split(", ")]
 
 def _gaps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State is the user's latest order time; an order older than it gets no gap and leaves it unchanged."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"], ignore_index=True)
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    us = rows["us"].to_numpy()
     last = state.get[0] if state.exists else None
-    late = pd.Series(False, index=rows.index) if last is None else rows["us"] < last
-    timely = rows.loc[~late, "us"]
-    before = timely.shift(1)
-    if last is not None and len(timely):
-        before.iloc[0] = last
-    rows["time_diff"] = (timely - before) / 1e6
+    order = np.lexsort((rows["event_id"].to_numpy(), us))
+    timely = order if last is None else order[us[order] >= last]
+    gap = np.full(len(rows), np.nan)
     if len(timely):
-        state.update((int(timely.iloc[-1]),))
+        before = np.concatenate([[np.nan if last is None else last], us[timely[:-1]]])
+        gap[timely] = (us[timely] - before) / 1e6
+        state.update((int(us[timely[-1]]),))
+    rows["time_diff"] = pd.Series(gap, index=rows.index).where(~np.isnan(gap), None).astype("float64")
     yield rows[COLUMNS]
 
 
