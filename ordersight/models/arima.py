@@ -97,7 +97,7 @@ def start_values(w: np.ndarray, shape: Shape) -> np.ndarray:
     """Hannan-Rissanen: residuals of a long autoregression as regressors for the moving average."""
     span = max(shape.p, shape.q, shape.s * max(shape.P, shape.Q))
     long = min(span + 10, len(w) // 4)
-    if long < 1 or len(w) < 3 * (long + span):
+    if not shape.size or long < 1 or len(w) < 3 * (long + span):
         return np.zeros(shape.size)
     design = np.column_stack([w[long - j : len(w) - j] for j in range(1, long + 1)])
     e = np.concatenate([np.zeros(long), w[long:] - design @ np.linalg.lstsq(design, w[long:], rcond=None)[0]])
@@ -123,7 +123,7 @@ def minimise(w: np.ndarray, shape: Shape, params: np.ndarray, rounds: int = 60)
         params = np.zeros(shape.size)
         e = errors(params)
     damping = 1e-2
-    for _ in range(rounds):
+    for _ in range(rounds if shape.size else 0):
         jacobian = np.empty((len(e), shape.size))
         for i in range(shape.size):
             moved = params.copy()

@@ -141,7 +141,7 @@ def test_kmeans_distance_is_nearest_centre(spark, points):
     scaler, kmeans = model.stages[1], model.stages[2]
     x = (got[COLUMNS].to_numpy() - scaler.mean.toArray()) / scaler.std.toArray()
     expected = np.min([np.linalg.norm(x - c, axis=1) for c in kmeans.clusterCenters()], axis=0)
-    np.testing.assert_allclose(got["distance"], expected, rtol=1e-9)
+    np.testing.assert_allclose(got["distance"], expected, rtol=1e-9, atol=1e-12)
 
 
 def test_gmm(spark, points):
