@@ -11,6 +11,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordersight.session import cut
+
 ROWS_PER_TASK = 1_000_000
 MAX_CHUNKS = 4096
 EDGE_SAMPLE = 400_000
@@ -53,8 +55,10 @@ def previous_in_key(
 ) -> DataFrame:
     """Add ``result``: numeric ``order`` of the previous row of the same ``key`` (null for the first).
 
-    Rows are ordered by ``order`` then ``tie``. Keys above ``rows_per_task`` rows are cut into
-    consecutive ranges of ``order``; the last value of the ranges before fills each border.
+    Rows are ordered by ``order`` then ``tie``, which must be unique in a key. A key above
+    ``rows_per_task`` rows is cut into consecutive ranges of ``order``, and the last value of the range
+    before fills each border. Where that many rows of a key share one ``order``, all but the first follow
+    an equal row, so only the first takes part in the ordering.
     """
     rows = df.count()
     per_task = rows_per_task or max(ROWS_PER_TASK, rows // MAX_CHUNKS)
@@ -62,9 +66,19 @@ def previous_in_key(
     if chunks == 1:
         ordered = Window.partitionBy(key).orderBy(order, tie)
         return df.withColumn(result, F.lag(order).over(ordered))
-    # at most rows / per_task keys can be this large, which is at most MAX_CHUNKS
+    # at most rows / per_task keys, or values of a key, can be this large: at most MAX_CHUNKS
     large = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > per_task).select(key, F.lit(1).alias("_large"))
-    marked = with_chunk(df.join(F.broadcast(large), key, "left"), order, rows, chunks).withColumn(
+    flagged = df.join(F.broadcast(large), key, "left")
+    tied = (
+        flagged.where("_large = 1")
+        .groupBy(key, order)
+        .agg(F.count("*").alias("_n"), F.min(tie).alias("_first"))
+        .where(F.col("_n") > per_task)
+        .drop("_n")
+    )
+    known = flagged.join(F.broadcast(tied), [key, order], "left")
+    followers = F.coalesce(F.col(tie) != F.col("_first"), F.lit(False))
+    marked = with_chunk(known.where(~followers), order, rows, chunks).withColumn(
         "chunk", F.when(F.col("_large") == 1, F.col("chunk")).otherwise(-1)
     )
     inside = Window.partitionBy(key, "chunk").orderBy(order, tie)
@@ -73,11 +87,9 @@ def previous_in_key(
     borders = ends.select(
         key, "chunk", F.lag("_end").over(Window.partitionBy(key).orderBy("chunk")).alias("_before")
     )
-    return (
-        lagged.join(borders, [key, "chunk"], "left")
-        .withColumn(result, F.coalesce("_inside", "_before"))
-        .drop("chunk", "_large", "_inside", "_before")
-    )
+    ordered = lagged.join(borders, [key, "chunk"], "left").withColumn(result, F.coalesce("_inside", "_before"))
+    columns = [*df.columns, result]
+    return ordered.select(*columns).unionByName(known.where(followers).withColumn(result, F.col(order)).select(*columns))
 
 
 def counted_values(
@@ -90,19 +102,20 @@ def counted_values(
     """One row per (``by``, value) with the counts of that value, of all smaller ones and of the group.
 
     Columns: ``by``, ``value`` and, for the row count ``n`` and each additive aggregate in ``extra``,
-    ``<name>``, ``<name>_before`` and ``<name>_total``. Equal values collapse before the shuffle; the
-    running totals are taken inside value ranges and shifted by the totals of the ranges before.
+    ``<name>``, ``<name>_before`` and ``<name>_total``. Equal values collapse before the shuffle and the
+    collapsed table is written, so the input is evaluated once; the running totals are taken inside value
+    ranges and shifted by the totals of the ranges before.
     """
     aggregates = {"n": F.count("*"), **(extra or {})}
-    present = df.where(F.col(value).isNotNull())
-    rows = present.count()
-    per_task = rows_per_task or max(ROWS_PER_TASK, rows // MAX_CHUNKS)
-    chunks = chunk_count(rows, per_task)
-    grouped = (
-        with_chunk(present, value, rows, chunks)
-        .groupBy(*by, "chunk", F.col(value).alias("value"))
+    grouped = cut(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).alias("value"))
         .agg(*[agg.alias(name) for name, agg in aggregates.items()])
     )
+    rows = grouped.count()
+    per_task = rows_per_task or max(ROWS_PER_TASK, rows // MAX_CHUNKS)
+    chunks = chunk_count(rows, per_task)
+    grouped = with_chunk(grouped, "value", rows, chunks)
     inside = Window.partitionBy(*by, "chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     before = [F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_before") for c in aggregates]
     if chunks == 1:
@@ -136,33 +149,32 @@ def exact_quantiles(
     probabilities: dict[str, float],
     by: list[str] | None = None,
     rows_per_task: int | None = None,
+    discrete: bool = False,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, long form: ``by``, ``column``, one column per probability."""
+    """Exact quantiles, long form: ``by``, ``column``, one column per probability.
+
+    Linear interpolation between neighbours, or with ``discrete`` the first value whose cumulative
+    share reaches the probability.
+    """
     by = by or []
-    long = df.select(
-        *by,
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]
-            )
-        ).alias("cell"),
-    ).select(*by, "cell.column", "cell.v")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
     keys = [*by, "column"]
-    counted = counted_values(long, "v", keys, rows_per_task=rows_per_task)
+    counted = counted_values(df.select(*by, F.inline(cells)), "v", keys, rows_per_task=rows_per_task)
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
+        return F.max(F.when(hit, F.col("value")))
+
     picks = []
     for name, p in probabilities.items():
-        target = (F.col("n_total") - 1) * F.lit(float(p))
-        for part, rank in (("lo", F.floor(target)), ("hi", F.ceil(target))):
-            hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"_{name}_{part}"))
+        if discrete:
+            picks.append(at(F.greatest(F.ceil(F.col("n_total") * float(p)) - 1, F.lit(0))).alias(name))
+            continue
+        target = (F.col("n_total") - 1) * float(p)
+        picks += [at(F.floor(target)).alias(f"_{name}_lo"), at(F.ceil(target)).alias(f"_{name}_hi")]
         picks.append(F.max(target - F.floor(target)).alias(f"_{name}_w"))
     found = counted.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (
-                F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_w")
-            ).alias(name)
-            for name in probabilities
-        ],
-    )
+    if discrete:
+        return found
+    between = lambda n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")
+    return found.select(*keys, *[between(n).alias(n) for n in probabilities])

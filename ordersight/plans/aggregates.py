@@ -25,7 +25,7 @@ def stats_sql(column: str) -> str:
     {stats_sql("time_diff")}, {r("quantile_disc(time_diff, 0.5)", 4)} time_diff_median, {r(rush(), 4)} rush_hour_ratio from cleaned""",
 )
 def descriptive_stats(spark, folder):
-    return round_doubles(A.descriptive_stats(transactions(spark, folder), accuracy=1_000_000), 4)
+    return round_doubles(A.descriptive_stats(transactions(spark, folder), accuracy=None), 4)
 
 
 @query(

@@ -8,12 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = (
-    "user_id long, event_id long, ts timestamp, amount double, time_diff double, order_time int, "
-    "device_type string, is_cheat int"
-)
+OUTPUT = "user_id long, event_id long, us long, payload string, time_diff double"
 COLUMNS = [field.split()[0] for field in OUTPUT.split(", ")]
 
 
@@ -30,8 +28,7 @@ def _gaps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         before = np.concatenate([[np.nan if last is None else last], us[timely[:-1]]])
         gap[timely] = (us[timely] - before) / 1e6
         state.update((int(us[timely[-1]]),))
-    rows["time_diff"] = pd.Series(gap, index=rows.index).where(~np.isnan(gap), None).astype("float64")
-    yield rows[COLUMNS]
+    yield rows.assign(time_diff=gap)[COLUMNS]
 
 
 def stream_gap_state(orders: DataFrame) -> DataFrame:
@@ -40,7 +37,15 @@ def stream_gap_state(orders: DataFrame) -> DataFrame:
     One user's rows of one micro-batch are sorted in one task, so the source limit
     (``max_files`` or ``max_bytes``) is what bounds that task.
     """
-    prepared = orders.withColumn("us", F.unix_micros("ts"))
-    return prepared.groupBy("user_id").applyInPandasWithState(
+    carried = [f for f in orders.schema if f.name not in ("user_id", "event_id", "ts")]
+    # each column costs a conversion per user and batch, so those the gap does not need travel as one
+    packed = orders.select(
+        "user_id", "event_id", F.unix_micros("ts").alias("us"), F.to_json(F.struct(*[f.name for f in carried])).alias("payload")
+    )
+    gapped = packed.groupBy("user_id").applyInPandasWithState(
         _gaps, OUTPUT, "last_us long", "append", GroupStateTimeout.NoTimeout
     )
+    unpacked = F.from_json("payload", T.StructType(carried)).alias("p")
+    return gapped.select("user_id", "event_id", "us", "time_diff", unpacked).select(
+        "user_id", "event_id", F.timestamp_micros("us").alias("ts"), "time_diff", "p.*"
+    )

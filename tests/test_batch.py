@@ -163,3 +163,10 @@ def test_proxy_bounds(spark):
 def test_shape_of_short_tables(spark):
     row = A.distribution_shape(spark.createDataFrame([(1.0,), (2.0,)], "x double"), ["x"]).first()
     assert row.skewness is None and row.kurtosis is None and row.median == 1.5 and math.isclose(row.std, 0.7071067811865476)
+
+
+def test_sketched_median_is_within_its_rank_error(spark):
+    df = spark.range(20_001).select(F.col("id").cast("double").alias("amount"), F.lit(1.0).alias("time_diff"), F.lit(3).alias("order_time"))
+    for accuracy in (100, 10_000, None):
+        median = A.descriptive_stats(df, accuracy).first().amount_median
+        assert abs(median - 10_000) <= 20_001 / (accuracy or 10**9) + 1

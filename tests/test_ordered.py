@@ -16,7 +16,8 @@ def hot():
     n = 6000
     users = np.where(rng.random(n) < 0.4, 1, rng.integers(2, 200, n))
     us = rng.integers(0, 4000, n) * 1000
-    return pd.DataFrame({"user_id": users, "us": us, "event_id": np.arange(n)})
+    us[(users == 1) & (rng.random(n) < 0.5)] = 777_000  # half of the hot user's rows at one instant
+    return pd.DataFrame({"user_id": users, "us": us, "event_id": rng.permutation(n)})
 
 
 @pytest.mark.parametrize("per_task", [None, 500, 50])

@@ -54,3 +54,8 @@ def test_no_window_over_the_whole_table(spark, small, name):
 def test_no_python_in_set_based_queries(spark, small, name):
     plan = plan_of(entry.queries()[name](spark, small))
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rank_in_group_cuts_groups_before_the_shuffle(spark, small):
+    plan = plan_of(entry.queries()["row_number_rank"](spark, small))
+    assert plan.count("WindowGroupLimit") == 2
