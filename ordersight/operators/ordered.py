@@ -67,15 +67,11 @@ def previous_in_key(
         ordered = Window.partitionBy(key).orderBy(order, tie)
         return df.withColumn(result, F.lag(order).over(ordered))
     # at most rows / per_task keys, or values of a key, can be this large: at most MAX_CHUNKS
-    large = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > per_task).select(key, F.lit(1).alias("_large"))
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    large = cut(counts.where(F.col("_n") > per_task).select(key, F.lit(1).alias("_large")))
     flagged = df.join(F.broadcast(large), key, "left")
-    tied = (
-        flagged.where("_large = 1")
-        .groupBy(key, order)
-        .agg(F.count("*").alias("_n"), F.min(tie).alias("_first"))
-        .where(F.col("_n") > per_task)
-        .drop("_n")
-    )
+    instants = flagged.where("_large = 1").groupBy(key, order).agg(F.count("*").alias("_n"), F.min(tie).alias("_first"))
+    tied = cut(instants.where(F.col("_n") > per_task).drop("_n"))
     known = flagged.join(F.broadcast(tied), [key, order], "left")
     followers = F.coalesce(F.col(tie) != F.col("_first"), F.lit(False))
     marked = with_chunk(known.where(~followers), order, rows, chunks).withColumn(

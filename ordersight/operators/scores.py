@@ -59,10 +59,10 @@ def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def score_summary(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
-    """Mean, sample std, share above 0.8 and count in one row."""
+def score_summary(scored: DataFrame, score: str = "anomaly_score", by: list[str] | None = None) -> DataFrame:
+    """Mean, sample std, share above 0.8 and count in one row (per group)."""
     s = F.col(score)
-    return scored.agg(
+    return scored.groupBy(*(by or [])).agg(
         F.avg(s).alias("avg_anomaly_score"),
         F.coalesce(F.stddev(s), F.lit(0.0)).alias("std_anomaly_score"),
         F.coalesce(F.count_if(s > HIGH_SCORE) / F.count(s), F.lit(0.0)).alias("high_score_ratio"),
@@ -70,14 +70,22 @@ def score_summary(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
     )
 
 
+def stacked_scores(scored: dict[str, DataFrame], *columns: str) -> DataFrame:
+    """The scores of several models under one another, with the model's name."""
+    parts = [df.select(F.lit(name).alias("model"), "anomaly_score", *columns) for name, df in scored.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_train_time(rows: DataFrame, times: dict[str, float] | None) -> DataFrame:
+    seconds = F.lit(None).cast("double")
+    for name, value in (times or {}).items():
+        seconds = F.when(F.col("model") == name, float(value)).otherwise(seconds)
+    return rows.withColumn("train_time", seconds)
+
+
 def model_comparison(scored: dict[str, DataFrame], train_times: dict[str, float] | None = None) -> DataFrame:
     """One summary row per model."""
-    times = train_times or {}
-    rows = [
-        score_summary(df).select(F.lit(name).alias("model"), F.lit(times.get(name)).cast("double").alias("train_time"), "*")
-        for name, df in scored.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    return with_train_time(score_summary(stacked_scores(scored), by=["model"]), train_times)
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -128,20 +136,30 @@ def clamp(value: Column, low: float = 0.5, high: float = 0.99) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
-def proxy_metrics(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
+def proxy_metrics(scored: DataFrame, score: str = "anomaly_score", by: list[str] | None = None) -> DataFrame:
     """Label-free proxies from the score distribution; not accuracy."""
-    base = scored.agg(F.avg(score).alias("mean"), (F.count_if(F.col(score) > HIGH_SCORE) / F.count(score)).alias("share"))
+    by = by or []
+    base = scored.groupBy(*by).agg(F.avg(score).alias("mean"), (F.count_if(F.col(score) > HIGH_SCORE) / F.count(score)).alias("share"))
     rounded = base.select(
+        *by,
         tidy(0.7 + F.col("share") * 0.3, 4).alias("precision"),
         tidy(0.6 + F.col("mean") * 0.4, 4).alias("recall"),
         tidy(0.5 + F.col("mean") * 0.5, 4).alias("auc"),
     )
     p, r = F.col("precision"), F.col("recall")
     return rounded.withColumn("f1", tidy(2 * p * r / (p + r), 4)).select(
-        clamp(p).alias("precision"), clamp(r).alias("recall"), clamp(F.col("f1")).alias("f1"), clamp(F.col("auc")).alias("auc")
+        *by, clamp(p).alias("precision"), clamp(r).alias("recall"), clamp(F.col("f1")).alias("f1"), clamp(F.col("auc")).alias("auc")
     )
 
 
+def model_evaluation(scored: dict[str, DataFrame], train_times: dict[str, float] | None = None, threshold: float = 0.8) -> DataFrame:
+    """One row per model: train time, score summary, metrics against the labels, and the label-free proxies."""
+    stacked, by = stacked_scores(scored, "is_cheat"), ["model"]
+    proxies = proxy_metrics(stacked, by=by).withColumnsRenamed({c: f"proxy_{c}" for c in ("precision", "recall", "f1", "auc")})
+    labelled = label_metrics(stacked, threshold, by=by).drop("sample_count")
+    return with_train_time(score_summary(stacked, by=by).join(labelled, by).join(proxies, by), train_times)
+
+
 def feature_importance(scored: DataFrame, features: list[str], score: str = "anomaly_score") -> DataFrame:
     """Absolute correlation of each unscaled feature with the score, normalised to sum 1."""
     wide = scored.agg(

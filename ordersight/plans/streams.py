@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +20,22 @@ from ordersight.sources.tables import orders_of_events, table, transactions
 from ordersight.streaming import detect
 from ordersight.streaming.io import read_sink, stream_sink, stream_source
 
-SLICES = 4
+SLICES = 2
 
 
-@lru_cache(maxsize=None)
-def _event_files(app: str, folder: str) -> str:
-    """The whole events table as a folder of files in event-time order, written once per session."""
-    spark = SparkSession.getActiveSession()
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, folder: str, make: Callable[[SparkSession, str], str]) -> str:
+    """Path that ``make`` wrote for this application and table folder, written on first use."""
+    key = (spark.sparkContext.applicationId, folder, make.__name__)
+    if key not in _written:
+        _written[key] = make(spark, folder)
+    return _written[key]
+
+
+def event_files(spark: SparkSession, folder: str) -> str:
+    """The whole events table as a folder of files in event-time order."""
     events = table(spark, folder, "events")
     path = fresh_dir(spark, "event-stream")
     span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
@@ -40,7 +49,7 @@ def _event_files(app: str, folder: str) -> str:
 
 def event_stream(spark, folder) -> DataFrame:
     """The events in a few micro-batches, oldest files first."""
-    path = _event_files(spark.sparkContext.applicationId, folder)
+    path = once(spark, folder, event_files)
     files = len(spark.read.parquet(path).inputFiles())
     return stream_source(spark, path, max_files=max(1, -(-files // SLICES)))
 
@@ -53,14 +62,12 @@ def run(stream: DataFrame, label: str) -> DataFrame:
     return read_sink(spark, sink)
 
 
-@lru_cache(maxsize=None)
-def _detected(app: str, folder: str) -> str:
+def detection_sink(spark: SparkSession, folder: str) -> str:
     """Sink of one rule-mode detection run over the whole table, shared by the queries on its results."""
-    spark = SparkSession.getActiveSession()
     sink = fresh_dir(spark, "detection-sink")
     running = detect.start_detection(
         spark, event_stream(spark, folder), sink, fresh_dir(spark, "detection-checkpoint"), mode="rule",
-        name=f"detection-{app}-{abs(hash(folder))}", available_now=True, gap_lt=GAP_LT,
+        name=f"detection-{sink[-8:]}", available_now=True, gap_lt=GAP_LT,
     )
     running.query.awaitTermination()
     running.stop()
@@ -68,7 +75,7 @@ def _detected(app: str, folder: str) -> str:
 
 
 def detected(spark, folder) -> DataFrame:
-    return read_sink(spark, _detected(spark.sparkContext.applicationId, folder))
+    return read_sink(spark, once(spark, folder, detection_sink))
 
 
 @query("stream_source", "select event_id, user_id, event_type, round(value, 4) value from events")
