@@ -13,6 +13,7 @@ from ordersight.plans.ranking import SCORED_FEATURES, importance_rows, scored_fe
 from ordersight.plans.registry import query
 from ordersight.plans.views import CLEAN, NORM, RULE, cleaned, norm_scored, r, rule_scored
 from ordersight.schemas import FEATURES
+from ordersight.session import cut
 from ordersight.sources.tables import transactions
 
 SUMMARY = f"""{r("avg(anomaly_score)", 4)} avg_anomaly_score, {r("stddev_samp(anomaly_score)", 4)} std_anomaly_score,
@@ -141,7 +142,7 @@ RIVALS = {"narrow": (20.0, 2000.0), "wide": (60.0, 40000.0), "gap_only": (0.0, 4
 
 def rival_metrics(spark, folder):
     """(model, f1, train_time) of three rule settings; the time column is a stand-in, the row count."""
-    rows = cleaned(spark, folder)
+    rows = cut(cleaned(spark, folder))
     parts = []
     for name, (amount_lt, gap_lt) in RIVALS.items():
         metrics = S.label_metrics(with_rule_score(rows, amount_lt, gap_lt), 0.5)

@@ -39,9 +39,11 @@ def gap_seconds(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """The ``tx`` view: one order per event, with the gap to the user's previous order."""
-    events = table(spark, folder, "events")
-    return gap_seconds(orders_of_events(events)).select(
-        padded_id("U", F.col("user_id"), 6).alias("user_id"),
+    orders = orders_of_events(table(spark, folder, "events"))
+    # the id is padded before the gap is taken, so that grouping by user reuses the same shuffle
+    named = orders.withColumn("user_id", padded_id("U", F.col("user_id"), 6))
+    return gap_seconds(named).select(
+        "user_id",
         padded_id("O", F.col("event_id"), 8).alias("order_id"),
         "amount",
         "time_diff",

@@ -27,6 +27,11 @@ def test_hourly_reads_only_what_it_needs(spark, small):
     assert "props" not in plan and "event_type" not in plan
 
 
+def test_user_grouping_reuses_the_shuffle_of_the_gap(spark, small):
+    per_user = transactions(spark, small).groupBy("user_id").agg(F.avg("time_diff"))
+    assert plan_of(per_user).count("Exchange hashpartitioning") == 1
+
+
 def test_top_k_is_not_a_full_sort(spark, small):
     plan = plan_of(A.user_profiling(transactions(spark, small)))
     assert "TakeOrderedAndProject" in plan and "partial_avg" in plan
