@@ -135,6 +135,21 @@ def acf(series: DataFrame, value: str = "daily_amount", max_lags: int = MAX_LAGS
     )
 
 
+def dickey_fuller(series: DataFrame, value: str = "daily_amount") -> DataFrame:
+    """Unit-root statistic without lagged differences, for all series in one aggregate.
+
+    The t value of the level in the regression of the daily change on a constant and the level before.
+    """
+    before = F.lag(F.col(value).cast("double")).over(by_date())
+    pairs = series.select("series_key", before.alias("x"), (F.col(value).cast("double") - before).alias("y"))
+    sums = pairs.where("x is not null and y is not null").groupBy("series_key").agg(
+        F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy")
+    )
+    error = (F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")) / (F.col("n") - 2)
+    known = (F.col("n") > 2) & (F.col("sxx") > 0) & (error > 0)
+    return sums.select("series_key", "n", F.when(known, F.col("slope") / F.sqrt(error / F.col("sxx"))).alias("statistic"))
+
+
 def forecast_accuracy(pairs: DataFrame, by: list[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """MAE, MSE, RMSE (of the rounded MSE), R2 and MAPE per group; rows lacking either value are left out."""
     both = pairs.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())

@@ -94,6 +94,17 @@ def adf_test(spark, folder):
     return unit_root.adf_test(T.series_clean(daily(spark, folder)))
 
 
+@query(
+    "dickey_fuller",
+    f"""with {DAILY}, pairs as (select series_key, x, daily_amount - x y from (
+      select *, lag(daily_amount) over (partition by series_key order by date) x from daily) where x is not null)
+    select series_key, count(*) n, {r("regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x))", 4)} statistic
+    from pairs group by 1""",
+)
+def dickey_fuller(spark, folder):
+    return round_doubles(T.dickey_fuller(daily(spark, folder)), 4)
+
+
 @query("differencing_needed")
 def differencing_needed(spark, folder):
     return T.differencing_needed(unit_root.adf_test(T.series_clean(daily(spark, folder))))

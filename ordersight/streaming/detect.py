@@ -110,11 +110,13 @@ class DetectionRun:
     started: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
     def status(self) -> dict:
+        # listener events arrive late, recent progress is bounded: the larger of the two is current
+        recent = self.query.recentProgress
         return {
             "is_running": self.query.isActive,
             "start_time": self.started.isoformat(timespec="seconds"),
-            "processed_batches": self.totals.batches,
-            "total_records": self.totals.rows,
+            "processed_batches": max(self.totals.batches, len(recent)),
+            "total_records": max(self.totals.rows, sum(p.numInputRows for p in recent)),
             "detection_mode": self.mode,
         }
 

@@ -39,8 +39,13 @@ def table_of(columns, rows):
     return [columns[i] for i in order], sorted(([plain(r[i]) for i in order] for r in rows), key=str)
 
 
-def kind(value) -> str:
-    return "float" if isinstance(value, float) else "int" if isinstance(value, int) else type(value).__name__
+SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def type_difference(df, con, sql: str) -> str:
+    described = dict(row[:2] for row in con.execute(f"describe {sql}").fetchall())
+    wrong = {c: (t, described.get(c)) for c, t in df.dtypes if SAME.get(t, t) != described.get(c)}
+    return f"types {wrong}" if wrong else ""
 
 
 def compare(df, con, sql: str) -> str:
@@ -53,9 +58,8 @@ def compare(df, con, sql: str) -> str:
         return f"columns {a[0]} / {b[0]}"
     if len(a[1]) != len(b[1]):
         return f"rows {len(a[1])} / {len(b[1])}"
-    kinds = lambda cols, rows: {c: sorted({kind(r[i]) for r in rows if r[i] is not None}) for i, c in enumerate(cols)}
-    if kinds(df.columns, mine) != kinds(names, theirs):
-        return f"types {kinds(df.columns, mine)} / {kinds(names, theirs)}"
+    if problem := type_difference(df, con, sql):
+        return problem
     different = [(x, y) for x, y in zip(a[1], b[1], strict=True) if x != y]
     return f"{len(different)} of {len(a[1])} rows differ, first {different[0]}" if different else ""
 

@@ -67,6 +67,7 @@ def test_run_control(spark):
     assert run.status()["is_running"] and run.status()["detection_mode"] == "rule"
     run.query.processAllAvailable()
     status = run.stop()
+    assert status["total_records"] == 2 and status["processed_batches"] >= 1
     assert not status["is_running"] and not run.stop()["is_running"]
     assert read_sink(spark, sink).count() == 2
 
