@@ -27,6 +27,7 @@ HASH_RANGE = 2**52
 POOL_ROWS = 65_536
 OVERSAMPLE = 2.0
 MAX_NODES = 4_000_000
+TREES_PER_TASK = 8
 NODE_SCHEMA = "cell int, tree int, node int, feature int, threshold double, left int, right int, depth double"
 
 
@@ -68,7 +69,8 @@ def tree_samples(features: DataFrame, key: str, cells: list[tuple[int, int]], se
         .withColumn("_draw", draw)
         .where(F.col("_draw") < F.col("limit"))
     )
-    dealt = in_groups(dealt, "cell", "tree", groups=sum(trees for trees, _ in cells))
+    total = sum(trees for trees, _ in cells)
+    dealt = in_groups(dealt, "cell", "tree", groups=-(-total // TREES_PER_TASK))
     ranked = Window.partitionBy("cell", "tree").orderBy("_draw", key)
     return dealt.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= F.col("samples"))
 

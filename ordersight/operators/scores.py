@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions import features as C
 from ordersight.functions.rounding import tidy
 from ordersight.operators.joins import broadcast_scalar
 from ordersight.operators.ordered import counted_values
