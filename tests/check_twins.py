@@ -39,7 +39,7 @@ def table_of(columns, rows):
     return [columns[i] for i in order], sorted(([plain(r[i]) for i in order] for r in rows), key=str)
 
 
-SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def type_difference(df, con, sql: str) -> str:
