@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordersight.llm import rules
+from ordersight.llm import mixing, rules, urls
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -26,3 +26,16 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "n_lines",
         "failed",
     )
+
+
+@query("op9_mix_sources")
+def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op4_url_filter", urls.twin_sql())
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    judged = urls.judge(pages, urls.rules_table(spark), urls.listed_pages(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
