@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordersight.llm import mixing, rules, urls
+from ordersight.llm import decontamination, mixing, rules, urls
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -39,3 +40,11 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     judged = urls.judge(pages, urls.rules_table(spark), urls.listed_pages(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_decontamination", decontamination.twin_sql())
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scanned = decontamination.scan(docs, table(spark, folder, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return scanned.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
