@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import decontamination, mixing, rules, urls
+from ordersight.llm import decontamination, jaccard, mixing, rules, urls
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -48,3 +48,8 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     scanned = decontamination.scan(docs, table(spark, folder, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return scanned.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+@query("op8_ngram_jaccard")
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
