@@ -11,9 +11,11 @@ all documents, so that prefixes hold the most selective tokens.
   be neighbours in both orders. Neighbouring frequent tokens of the extended prefix are indexed as
   2-token combinations, which are as many as the prefix is long.
 
-Two linked sets that are not equal share a key. Candidates are verified exactly. To find components
-without all pairs of a group, keys first link each member with the key's leader; keys whose members
-are already one component are done, and only pairs across components are verified in the end.
+Two linked sets that are not equal share a key. A candidate must pass bounds on its sizes and on the
+symmetric difference (each set carries the parity of its tokens in 512 buckets; bits that differ
+cannot exceed the difference), then it is verified exactly. To find components without all pairs of a
+group, each key first links its members with a leader of its own choice; keys whose members are
+already one component are done, and only pairs across components are verified in the end.
 What is collected is the sketch, whose size is fixed; it decides the order, never the result.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. Fewer words than a shingle form one token; without words
@@ -29,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.llm import tokens
@@ -39,7 +41,10 @@ from ordersight.session import cut
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
+FEW_PARTNERS = 64  # partners in other components for an average posting, from which on all are looked at
+PARITY_WORDS = 8
+BITS = tuple(f"w{i}" for i in range(PARITY_WORDS))
 U = np.uint64
 FACTORS = np.array(
     [
@@ -74,6 +79,12 @@ def signature(own: np.ndarray) -> tuple[int, int]:
     return tuple(values.view(np.int64).tolist())
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Parity of a set's tokens in ``64 * PARITY_WORDS`` buckets, as longs."""
+    odd = np.bincount((own & U(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def unshared(n: int, percent: int) -> int:
     """Most tokens of a set of ``n`` that a linked set may lack."""
     return n - (percent * n + 99) // 100
@@ -126,20 +137,21 @@ def frequent_buckets(texts: DataFrame, width: int) -> bytes:
 def _prepare(width: int, percent: int, flags: bytes):
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, shift = tokens.powers(), U(64 - SKETCH_BITS)
-        bits = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+        common = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
         for batch in batches:
             done = 0
             for block in tokens.words(batch.column(1)):
                 rows = []
                 for own in shingle_sets(block, block.hashes(powers), width):
-                    keys = index_keys(own, bits[(own >> shift).astype(np.int64)], percent) if len(own) else own
-                    rows.append((len(own), *signature(own), keys.view(np.int64)))
-                sizes, first, second, keys = zip(*rows, strict=True)
+                    keys = index_keys(own, common[(own >> shift).astype(np.int64)], percent) if len(own) else own
+                    rows.append((len(own), *signature(own), parity(own), keys.view(np.int64)))
+                sizes, first, second, odd, keys = zip(*rows, strict=True)
+                bits = [pa.array(column) for column in np.stack(odd, 1)]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
                 columns = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), listed]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(rows)), *columns], ["id", "n", "node", "check", "keys"]
+                    [batch.column(0).slice(done, len(rows)), *columns, *bits], ["id", "n", "node", "check", "keys", *BITS]
                 )
                 done += len(rows)
 
@@ -189,19 +201,21 @@ class _Join:
         self.kind = docs.schema[id].dataType.simpleString()
         self.docs = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
         flags = frequent_buckets(self.docs.select("text"), width)
-        layout = f"id {self.kind}, n long, node long, check long, keys array<long>"
+        layout = f"id {self.kind}, n long, node long, check long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS)
         self.rows = cut(self.docs.mapInArrow(_prepare(width, percent, flags), layout))
         filled = self.rows.filter("n > 0")
         self.classes = cut(
-            filled.groupBy("node", "check", "n").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"))
+            filled.groupBy("node", "check", "n").agg(
+                F.min("id").alias("rep"), *[F.any_value(c).alias(c) for c in ("keys", *BITS)]
+            )
         )
         self.pairs: list[DataFrame] = []
 
     def postings(self) -> DataFrame:
-        """``key, node, n`` for the keys that two classes or more share."""
-        every = self.classes.select(F.explode("keys").alias("key"), "node", "n")
+        """``key, node, n`` and parities for the keys that two classes or more share."""
+        every = self.classes.select(F.explode("keys").alias("key"), "node")
         shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-        return cut(every.join(shared, "key", "left_semi"))
+        return cut(every.join(shared, "key", "left_semi").join(self.classes.select("node", "n", *BITS), "node"))
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """Verify pairs ``a, b`` that are new; sets are rebuilt from the texts of the classes in question."""
@@ -224,35 +238,40 @@ class _Join:
     def links(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.pairs).filter("linked").select("a", "b")
 
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link, smaller node first, once each."""
-        fits = F.lit(100) * F.least("m", "n") >= F.lit(self.percent) * F.greatest("m", "n")
-        return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def possible(self) -> Column:
+        """Whether the sizes ``n``, ``_n`` and the parities allow a link; part of the join condition."""
+        n, m = F.col("n"), F.col("_n")
+        common = F.ceil(F.lit(self.percent) * (n + m) / (100 + self.percent))
+        differ = reduce(Column.__add__, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in BITS])
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (differ <= n + m - 2 * common)
+
+    def pairs_of(self, postings: DataFrame, partners: DataFrame, of_other: Column) -> DataFrame:
+        """Possible pairs of postings with partners of the same key, smaller node first, once each."""
+        joined = postings.join(partners, (F.col("key") == F.col("_key")) & of_other & self.possible())
+        return joined.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         """``node, comp`` of the classes with links."""
-        postings = self.postings().withColumn("comp", F.col("node"))
+        postings, columns = self.postings().withColumn("comp", F.col("node")), ("key", "node", "n", "comp", *BITS)
         for turn in range(STAR_ROUNDS):
-            order = F.struct(F.xxhash64(F.lit(turn), "comp").alias("by"), "node", "n", "comp")
-            leaders = postings.groupBy("key").agg(F.min(order).alias("top"))
-            joined = postings.join(leaders, "key").filter("comp <> top.comp")
-            self.check(self.sized(joined.select(F.col("top.node").alias("a"), F.col("top.n").alias("m"), F.col("node").alias("b"), "n")))
+            by = F.xxhash64(F.lit(turn), "key", "node")
+            top = postings.groupBy("key").agg(F.min(F.struct(by.alias("by"), *columns[1:])).alias("top"))
+            leaders = top.select(F.col("key").alias("_key"), *[F.col(f"top.{c}").alias(f"_{c}") for c in columns[1:]])
+            self.check(self.pairs_of(postings, leaders, F.col("comp") != F.col("_comp")))
             found = cut(components(self.links()))
             postings = postings.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             several = postings.groupBy("key").agg(
                 F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")
             )
-            open_ = several.filter("low <> high").select("key", "c")
-            postings = cut(postings.join(open_, "key").select("key", "node", "n", "comp", "c"))
+            postings = cut(postings.join(several.filter("low <> high").select("key", "c"), "key"))
             size = postings.agg(F.count(F.lit(1)), F.sum(F.col("c") - 1)).first()
             postings = postings.drop("c")
-            if (size[1] or 0) <= 64 * size[0]:
+            if (size[1] or 0) <= FEW_PARTNERS * size[0]:
                 break
         if not size[0]:
             return found
-        other = postings.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("_comp"))
-        across = postings.withColumnRenamed("node", "a").join(other, "key").filter("comp < _comp")
-        self.check(self.sized(across.select("a", "b", "m", "n")))
+        other = postings.select(*[F.col(c).alias(f"_{c}") for c in columns])
+        self.check(self.pairs_of(postings, other, F.col("comp") < F.col("_comp")))
         return cut(components(self.links()))
 
 
