@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import decontamination, jaccard, mixing, rules, urls
+from ordersight.llm import decontamination, jaccard, mixing, rules, toxicity, urls
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -53,3 +53,19 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard")
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def remainder(id: str, divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``: the split into training and held-out rows."""
+    return F.crc32(F.col(f"`{id}`").cast("string")) % divisor
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), table(spark, folder, "labels").select("doc_id", "toxic"))
+    scored = docs.withColumn("score", toxicity.score(model, F.col("text")))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
