@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import decontamination, jaccard, mixing, rules, toxicity, urls
+from ordersight.llm import decontamination, jaccard, mixing, quality_model, rules, toxicity, urls
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -69,3 +69,14 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = quality_model.with_statistics(table(spark, folder, "documents").select("doc_id", "text"))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality_model.train(vectors.filter(~held_out), table(spark, folder, "labels").select("doc_id", "quality"))
+    scored = vectors.withColumn("score", quality_model.score(model, F.col("_vector")))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )

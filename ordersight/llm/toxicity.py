@@ -163,12 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Fit dictionaries and curve on a bounded sample of the labelled rows of ``docs``."""
     named = labels.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).dropna()
     own = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    joined = own.join(named, "_id").filter((F.octet_length("_text") > 0) & (F.octet_length("_text") <= LONGEST))
-    by = F.xxhash64(F.col("_id").cast("string"))
-    rows = []
+    sized = own.select("_id", F.octet_length("_text").alias("_size")).filter(f"_size > 0 and _size <= {LONGEST}")
+    joined = sized.join(named, "_id").select("_id", "_label").distinct()
+    by, rows = F.xxhash64(F.col("_id").cast("string")), []
     for kind, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS)):
-        chosen = joined.filter(F.col("_label") == kind).orderBy(by, "_id", "_text").limit(most)
-        rows.append([r[0] for r in chosen.select("_text").collect()])  # at most the sample's bound
+        chosen = joined.filter(F.col("_label") == kind).orderBy(by, "_id").limit(most)
+        texts = own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy(by, "_id").select("_text")
+        rows.append([r[0] for r in texts.collect() if r[0]])  # at most the sample's bound
     if not rows[0] or not rows[1]:
         return Model(b"", b"", np.zeros(0), float(bool(rows[0])))
     # every third text is kept from the dictionaries for the curve
