@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import decontamination, jaccard, mixing, quality_model, rules, toxicity, urls
+from ordersight.llm import decontamination, jaccard, language_id, mixing, quality_model, rules, toxicity, urls
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -80,3 +80,14 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = language_id.train(docs.filter(~held_out))
+    found = docs.withColumn("_found", language_id.language(model, F.col("text")))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score")
+    )
