@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import decontamination, jaccard, language_id, mixing, quality_model, rules, toxicity, urls
+from ordersight.llm import (
+    decontamination,
+    jaccard,
+    language_id,
+    language_model,
+    mixing,
+    quality_model,
+    rules,
+    toxicity,
+    urls,
+)
 from ordersight.llm.registry import QUERIES, TWINS, query, table
 
 __all__ = ["QUERIES", "TWINS"]
@@ -91,3 +101,13 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score")
     )
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    scored = language_model.score(docs.withColumn("_learn", ~held_out), "_learn")
+    return scored.select(
+        "doc_id", (~F.col("_learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
