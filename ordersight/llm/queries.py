@@ -10,6 +10,7 @@ from ordersight.llm import (
     jaccard,
     language_id,
     language_model,
+    licenses,
     mixing,
     quality_model,
     rules,
@@ -111,3 +112,16 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("_learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", licenses.find(F.col("text")).alias("_found"))
+    names = F.array_sort(F.array_distinct(F.col("_found.license")))
+    return found.select(
+        "doc_id",
+        F.size("_found").cast("long").alias("n_found"),
+        F.concat_ws(",", names).alias("licenses"),
+        F.coalesce(F.array_max(F.col("_found.coverage")), F.lit(0.0)).alias("coverage"),
+        F.col("_found").alias("found"),
+    )
