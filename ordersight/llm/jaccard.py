@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ordersight.llm import tokens
 from ordersight.llm.components import components
+from ordersight.llm.scratch import release
 from ordersight.session import cut
 
 SKETCH_BITS = 21
@@ -158,33 +159,32 @@ def _prepare(width: int, percent: int, flags: bytes):
     return prepare
 
 
-def _sets(width: int):
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows_of(texts: pa.Array, width: int, powers: tokens._Powers) -> Iterator[np.ndarray]:
+    for block in tokens.words(texts):
+        yield from shingle_sets(block, block.hashes(powers), width)
+
+
+def _named(width: int):
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = tokens.powers()
         for batch in batches:
-            for block in tokens.words(batch.column(0)):
-                own = list(shingle_sets(block, block.hashes(powers), width))
-                names = [signature(x)[0] for x in own]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), listed], ["node", "set"])
+            nodes = [signature(own)[0] for own in _rows_of(batch.column(0), width, powers)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], ["node", "text"])
 
-    return build
+    return name
 
 
-def _verify(percent: int):
+def _verify(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = tokens.powers()
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
             linked = []
-            for i in range(len(batch)):
-                x = left[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                y = right[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for x, y in zip(*[_rows_of(batch.column(i), width, powers) for i in (2, 3)], strict=True):
                 both = np.concatenate([x, y])
                 both.sort(kind="mergesort")
                 shared = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return verify
 
@@ -218,7 +218,10 @@ class _Join:
         return cut(every.join(shared, "key", "left_semi").join(self.classes.select("node", "n", *BITS), "node"))
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """Verify pairs ``a, b`` that are new; sets are rebuilt from the texts of the classes in question."""
+        """Verify pairs ``a, b`` that are new, on the texts of their classes' representatives.
+
+        Texts travel, not sets: a compressed text is a third of its set's hashes.
+        """
         for known in self.pairs:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -226,12 +229,14 @@ class _Join:
         wanted = cut(self.classes.select("node", "rep").join(wanted, "node", "left_semi"))
         reps = _small(wanted.select(F.col("rep")).distinct())
         texts = self.docs.join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.width), "node long, set array<long>")
-        sets = sets.join(_small(wanted.select("node")), "node", "left_semi")
-        sets = cut(sets.groupBy("node").agg(F.any_value("set").alias("set")))
-        ready = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        ready = ready.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
-        checked = cut(ready.mapInArrow(_verify(self.percent), "a long, b long, linked boolean"))
+        texts = texts.mapInArrow(_named(self.width), "node long, text string")
+        texts = texts.join(_small(wanted.select("node")), "node", "left_semi")
+        texts = cut(texts.groupBy("node").agg(F.any_value("text").alias("text")))
+        ready = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        ready = ready.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+        checked = cut(ready.mapInArrow(_verify(self.width, self.percent), "a long, b long, linked boolean"))
+        for table in (pairs, wanted, texts):
+            release(table)
         self.pairs.append(checked)
         return checked
 
