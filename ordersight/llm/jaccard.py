@@ -45,6 +45,7 @@ SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes)
 STAR_ROUNDS = 2
 FEW_PARTNERS = 64  # partners in other components for an average posting, from which on all are looked at
 PARITY_WORDS = 8
+WIDE_WORDS = 64  # of the second parity, for candidates only
 BITS = tuple(f"w{i}" for i in range(PARITY_WORDS))
 U = np.uint64
 FACTORS = np.array(
@@ -80,9 +81,9 @@ def signature(own: np.ndarray) -> tuple[int, int]:
     return tuple(values.view(np.int64).tolist())
 
 
-def parity(own: np.ndarray) -> np.ndarray:
-    """Parity of a set's tokens in ``64 * PARITY_WORDS`` buckets, as longs."""
-    odd = np.bincount((own & U(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+def parity(own: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Parity of a set's tokens in ``64 * words`` buckets, as longs."""
+    odd = np.bincount((own & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
@@ -168,8 +169,11 @@ def _named(width: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = tokens.powers()
         for batch in batches:
-            nodes = [signature(own)[0] for own in _rows_of(batch.column(0), width, powers)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], ["node", "text"])
+            rows = [(signature(own)[0], len(own), parity(own, WIDE_WORDS)) for own in _rows_of(batch.column(0), width, powers)]
+            nodes, sizes, odd = zip(*rows, strict=True) if rows else ((), (), ())
+            odd = pa.FixedSizeListArray.from_arrays(np.concatenate(odd) if odd else np.zeros(0, np.int64), WIDE_WORDS)
+            columns = [pa.array(nodes, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), odd.cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "text", "n", "odd"])
 
     return name
 
@@ -229,16 +233,28 @@ class _Join:
         wanted = cut(self.classes.select("node", "rep").join(wanted, "node", "left_semi"))
         reps = _small(wanted.select(F.col("rep")).distinct())
         texts = self.docs.join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-        texts = texts.mapInArrow(_named(self.width), "node long, text string")
+        texts = texts.mapInArrow(_named(self.width), "node long, text string, n long, odd array<long>")
         texts = texts.join(_small(wanted.select("node")), "node", "left_semi")
-        texts = cut(texts.groupBy("node").agg(F.any_value("text").alias("text")))
-        ready = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        texts = cut(texts.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("text", "n", "odd")]))
+        right = pairs.join(texts.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("odd").alias("_odd")), "b")
+        both = right.join(texts.select(F.col("node").alias("a"), "n", "odd"), "a")
+        differ = F.aggregate(
+            F.zip_with("odd", "_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+        )
+        near = cut(both.filter(differ <= self.most_different()).select("a", "b"))
+        ready = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         ready = ready.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
         checked = cut(ready.mapInArrow(_verify(self.width, self.percent), "a long, b long, linked boolean"))
-        for table in (pairs, wanted, texts):
+        done = cut(pairs.join(checked.filter("linked"), ["a", "b"], "left").select("a", "b", F.col("linked").isNotNull().alias("linked")))
+        for table in (pairs, wanted, texts, near, checked):
             release(table)
-        self.pairs.append(checked)
-        return checked
+        self.pairs.append(done)
+        return done
+
+    def most_different(self) -> Column:
+        """Largest symmetric difference of linked sets of sizes ``n`` and ``_n``."""
+        size = F.col("n") + F.col("_n")
+        return size - 2 * F.ceil(F.lit(self.percent) * size / (100 + self.percent))
 
     def links(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.pairs).filter("linked").select("a", "b")
@@ -246,9 +262,8 @@ class _Join:
     def possible(self) -> Column:
         """Whether the sizes ``n``, ``_n`` and the parities allow a link; part of the join condition."""
         n, m = F.col("n"), F.col("_n")
-        common = F.ceil(F.lit(self.percent) * (n + m) / (100 + self.percent))
         differ = reduce(Column.__add__, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in BITS])
-        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (differ <= n + m - 2 * common)
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (differ <= self.most_different())
 
     def pairs_of(self, postings: DataFrame, partners: DataFrame, of_other: Column) -> DataFrame:
         """Possible pairs of postings with partners of the same key, smaller node first, once each."""
