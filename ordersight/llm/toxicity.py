@@ -37,7 +37,7 @@ MOST_RUNS = 300
 CARRIER = bytes(range(0x80, 0x98))
 LADDER = (1, 2, 3, 4, 5, 6)
 TOXIC_DOCS, ORDINARY_DOCS, LONGEST = 2500, 5000, 64_000
-LEAST_DOCS, LEAST_SHARE, CONTRAST = 8, 0.01, 20.0
+LEAST_DOCS, LEAST_SHARE, CONTRAST = 5, 0.005, 20.0
 
 
 def windows(block: tokens.Words) -> tuple[list[bytes], np.ndarray]:
@@ -172,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         rows.append([r[0] for r in texts.collect() if r[0]])  # at most the sample's bound
     if not rows[0] or not rows[1]:
         return Model(b"", b"", np.zeros(0), float(bool(rows[0])))
-    # every third text is kept from the dictionaries for the curve
-    halves = [([t for i, t in enumerate(r) if i % 3], [t for i, t in enumerate(r) if i % 3 == 0]) for r in rows]
+    # every fourth text is kept from the dictionaries for the curve
+    halves = [([t for i, t in enumerate(r) if i % 4], [t for i, t in enumerate(r) if i % 4 == 0]) for r in rows]
     split = [[t.encode().lower().split() for t in part[0]] for part in halves]
     counts = [_frequencies(texts) for texts in split]
     toxic = train_dictionary(split[0], counts[0], counts[1], len(split[1]))
