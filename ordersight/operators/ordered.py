@@ -7,6 +7,8 @@ carry the result across chunk borders, so every row is used and the result is ex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,7 +132,10 @@ def counted_values(
             *[F.sum(f"_{c}").over(group).alias(f"{c}_total") for c in aggregates],
         )
     )
-    return grouped.select("*", *before).join(shifts, [*by, "chunk"]).select(
+    # null-safe, so that the null group keeps its rows
+    shifts = shifts.withColumnsRenamed({c: f"_shift_{c}" for c in (*by, "chunk")})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_shift_{c}")) for c in (*by, "chunk")])
+    return grouped.select("*", *before).join(shifts, same).select(
         *by,
         "value",
         *aggregates,

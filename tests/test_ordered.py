@@ -86,3 +86,15 @@ def test_auc_of_one_class_is_half(spark):
     df = spark.createDataFrame([(0.1, 0), (0.9, 0)], "anomaly_score double, is_cheat int")
     row = label_metrics(df).first()
     assert (row.auc, row.precision, row.recall, row.f1) == (0.5, 0.0, 0.0, 0.0)
+
+
+
+def test_null_group_keeps_its_rows_in_chunks(spark):
+    from ordersight.operators.ordered import counted_values
+
+    df = spark.createDataFrame([(g, float(i)) for i in range(60) for g in ("a", None)], "g string, v double")
+    whole, cut_up = (counted_values(df, "v", by=["g"], rows_per_task=n).collect() for n in (None, 20))
+    assert len(cut_up) == 120 and {tuple(sorted(r.asDict().items())) for r in cut_up if r["g"]} == {
+        tuple(sorted(r.asDict().items())) for r in whole if r["g"]
+    }
+    assert sorted(r["n_before"] for r in cut_up if r["g"] is None) == list(range(60))
