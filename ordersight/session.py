@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_TASKS = 16_384
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +33,17 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a written table in the shared folder."""
+    """Cut lineage through a written table in the shared folder.
+
+    The shuffle files of the write go as soon as the table stands: nothing reads them any more.
+    """
     spark = df.sparkSession
-    path = fresh_dir(spark, "cut")
-    df.write.parquet(path)
+    path, before = fresh_dir(spark, "cut"), spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.parquet(path)
 
 
