@@ -206,20 +206,28 @@ class _Join:
         self.docs = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
         flags = frequent_buckets(self.docs.select("text"), width)
         layout = f"id {self.kind}, n long, node long, check long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS)
-        self.rows = cut(self.docs.mapInArrow(_prepare(width, percent, flags), layout))
-        filled = self.rows.filter("n > 0")
+        rows = cut(self.docs.mapInArrow(_prepare(width, percent, flags), layout))
+        filled = rows.filter("n > 0")
         self.classes = cut(
             filled.groupBy("node", "check", "n").agg(
                 F.min("id").alias("rep"), *[F.any_value(c).alias(c) for c in ("keys", *BITS)]
             )
         )
+        self.rows = cut(rows.select("id", "n", "node", "check"))
+        release(rows)
         self.pairs: list[DataFrame] = []
 
     def postings(self) -> DataFrame:
-        """``key, node, n`` and parities for the keys that two classes or more share."""
-        every = self.classes.select(F.explode("keys").alias("key"), "node")
+        """``key, node, n`` and parities for the keys that two classes or more share; the classes lose their keys."""
+        full = self.classes
+        every = full.select(F.explode("keys").alias("key"), "node")
         shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-        return cut(every.join(shared, "key", "left_semi").join(self.classes.select("node", "n", *BITS), "node"))
+        shared = cut(every.join(shared, "key", "left_semi"))
+        postings = cut(shared.join(full.select("node", "n", *BITS), "node"))
+        self.classes = cut(full.select("node", "check", "n", "rep"))
+        release(full)
+        release(shared)
+        return postings
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """Verify pairs ``a, b`` that are new, on the texts of their classes' representatives.
