@@ -1,13 +1,17 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Training finds the byte runs that tell the classes apart: five-byte grams inside words that are far
-more common, by documents, in one class than in the other. Each class's runs are the text on which
-its own zstandard dictionary is trained; text common to both is in neither dictionary. Every window
-of about ``WINDOW`` bytes of whole words is then compressed with both, and the difference of the
-two lengths is compared with a ladder of thresholds. A window starts with a fixed carrier that both
-dictionaries hold, so that a block of sequences pays off and one matched word shows in the length.
-A logistic curve, fitted on labelled texts that the dictionaries have not seen, turns the counts and
-shares of windows above each threshold into a probability.
+Training finds the byte runs that tell the classes apart: five-byte grams inside words whose share of
+all words is higher in one class than in the other, so that a run that ordinary texts hold now and
+then still marks texts full of it. Each class's runs are the text on which its own zstandard
+dictionary is trained; text equally common in both is in neither dictionary. A class without such
+runs, or with too few to train on, falls back on its commonest words or runs as raw content, with a
+warning. Every window of about ``WINDOW`` bytes of whole words is then compressed with both, and the
+difference of the two lengths is compared with a ladder of thresholds on both sides of zero. A window
+starts with a fixed carrier that both dictionaries hold, so that a block of sequences pays off and one
+matched word shows in the length. A logistic curve, fitted on labelled texts that the dictionaries have
+not seen, turns the mean difference and the counts and shares of windows above each threshold into a
+probability. How much commoner a toxic run must be is settled by the same texts: of ``CONTRASTS`` the
+one with the smallest cross-validated loss.
 
 Fitting uses a bounded sample: up to ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled texts of at most
 ``LONGEST`` bytes, chosen by a hash of the id. Scoring is one narrow pass over whole texts.
@@ -19,6 +23,7 @@ null labels or ids are not learned from. Repeated rows score alike; an empty tab
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,9 +40,10 @@ GRAM = 5
 DICT_BYTES = 2048
 MOST_RUNS = 300
 CARRIER = bytes(range(0x80, 0x98))
-LADDER = (1, 2, 3, 4, 5, 6)
+LADDER = (-4, -3, -2, -1, 1, 2, 3, 4, 5, 6)
 TOXIC_DOCS, ORDINARY_DOCS, LONGEST = 2500, 5000, 64_000
-LEAST_DOCS, LEAST_SHARE, CONTRAST = 5, 0.005, 20.0
+LEAST_DOCS, LEAST_SHARE = 5, 0.005
+CONTRASTS, ORDINARY_CONTRAST = (20.0, 12.0, 8.0, 5.0), 4.0
 
 
 def windows(block: tokens.Words) -> tuple[list[bytes], np.ndarray]:
@@ -85,11 +91,25 @@ def _grams(word: bytes) -> list[bytes]:
     return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
 
 
-def _frequencies(texts: list[list[bytes]]) -> Counter:
-    counts: Counter = Counter()
+@dataclass
+class Frequencies:
+    """Grams of a class: texts that hold them, times they occur, and the words of the class."""
+
+    texts: Counter
+    times: Counter
+    words: int
+
+
+def _frequencies(texts: list[list[bytes]]) -> Frequencies:
+    found = Frequencies(Counter(), Counter(), sum(map(len, texts)))
     for text in texts:
-        counts.update({g for word in set(text) for g in _grams(word)})
-    return counts
+        seen = set()
+        for word, n in Counter(text).items():
+            for gram in _grams(word):
+                found.times[gram] += n
+                seen.add(gram)
+        found.texts.update(seen)
+    return found
 
 
 def _runs(word: bytes, wanted: set[bytes]) -> list[bytes]:
@@ -104,16 +124,20 @@ def _runs(word: bytes, wanted: set[bytes]) -> list[bytes]:
     return [padded[a:b] for a, b in out]
 
 
-def train_dictionary(texts: list[list[bytes]], own: Counter, other: Counter, n_other: int) -> bytes:
+def train_dictionary(texts: list[list[bytes]], own: Frequencies, other: Frequencies, contrast: float) -> bytes:
     """zstandard dictionary of the runs that mark ``texts`` against the other class."""
-    n = max(1, len(texts))
-    least = max(LEAST_DOCS, LEAST_SHARE * n)
-    wanted = {g for g, c in own.items() if c >= least and c / n > CONTRAST * (other[g] + 1) / max(1, n_other)}
+    least = max(LEAST_DOCS, LEAST_SHARE * len(texts))
+    share = lambda gram: (other.times[gram] + 1) / max(1, other.words)
+    wanted = {g for g, n in own.texts.items() if n >= least and own.times[g] / own.words > contrast * share(g)}
     found = [[run for word in text for run in _runs(word, wanted)] for text in texts]
+    if not any(found):
+        warnings.warn("no runs mark a class of texts; its dictionary is trained on all of its words", stacklevel=2)
+        found = [[b" " + word for word in text] for text in texts]
     samples = [b"\n".join(runs) + b"\n" for runs in found if runs]
     try:
         trained = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
+    except zstandard.ZstdError as problem:
+        warnings.warn(f"too little text to train a dictionary on ({problem}); it holds raw runs only", stacklevel=2)
         trained = b""
     common = [run for run, _ in Counter(run for runs in found for run in runs).most_common(MOST_RUNS)]
     return trained + b"\n".join(reversed(common)) + CARRIER
@@ -128,7 +152,7 @@ class Model:
 
 
 def measures(model: Model, texts: pa.Array) -> np.ndarray:
-    """Per text and threshold: logs of the count and of the share of windows at or above it, and of the best window."""
+    """Per text and threshold logs of the count and of the share of windows at or above it; their mean and their number."""
     with_toxic, with_ordinary = compressor(model.toxic), compressor(model.ordinary)
     out = []
     for block in tokens.words(texts):
@@ -139,10 +163,9 @@ def measures(model: Model, texts: pa.Array) -> np.ndarray:
         for t in LADDER:
             hits = np.bincount(text[gain >= t], minlength=len(block))
             columns += [np.log1p(hits), np.log1p(100 * hits / np.maximum(counts, 1))]
-        best = np.zeros(len(block))
-        np.maximum.at(best, text, np.maximum(gain, 0))
-        out.append(np.stack([*columns, np.log1p(best), np.ones(len(block))], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2 * len(LADDER) + 2))
+        mean = np.bincount(text, gain, minlength=len(block)) / np.maximum(counts, 1)
+        out.append(np.stack([*columns, mean, np.log1p(counts), np.ones(len(block))], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2 * len(LADDER) + 3))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -159,6 +182,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Two-fold cross-validated log loss of the curve; rows of both classes alternate between the folds."""
+    fold, loss = np.zeros(len(y), bool), 0.0
+    for kind in (0.0, 1.0):
+        fold[np.flatnonzero(y == kind)[::2]] = True
+    for fit, test in ((fold, ~fold), (~fold, fold)):
+        at = np.clip(x[test] @ _logistic(x[fit], y[fit]), -30, 30)
+        loss += float(np.logaddexp(0, np.where(y[test] == 1, -at, at)).sum())
+    return loss
+
+
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit dictionaries and curve on a bounded sample of the labelled rows of ``docs``."""
     named = labels.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).dropna()
@@ -176,13 +210,18 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     halves = [([t for i, t in enumerate(r) if i % 4], [t for i, t in enumerate(r) if i % 4 == 0]) for r in rows]
     split = [[t.encode().lower().split() for t in part[0]] for part in halves]
     counts = [_frequencies(texts) for texts in split]
-    toxic = train_dictionary(split[0], counts[0], counts[1], len(split[1]))
-    ordinary = train_dictionary(split[1], counts[1], counts[0], len(split[0]))
-    model = Model(toxic, ordinary, np.zeros(0))
-    held = [*halves[0][1], *halves[1][1]]
+    held = pa.array([*halves[0][1], *halves[1][1]], pa.large_string())
     truth = np.array([1.0] * len(halves[0][1]) + [0.0] * len(halves[1][1]))
-    model.weights = _logistic(measures(model, pa.array(held, pa.large_string())), truth)
-    return model
+    ordinary = train_dictionary(split[1], counts[1], counts[0], ORDINARY_CONTRAST)
+    best, least = None, np.inf
+    for contrast in CONTRASTS:
+        model = Model(train_dictionary(split[0], counts[0], counts[1], contrast), ordinary, np.zeros(0))
+        x = measures(model, held)
+        loss = _loss(x, truth)
+        if best is None or loss < least:
+            model.weights = _logistic(x, truth)
+            best, least = model, loss
+    return best
 
 
 def score(model: Model, text: Column) -> Column:

@@ -241,3 +241,28 @@ def test_pipeline(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "ngram_jaccard", "decontamination", "mix_sources"]
     rows = corpus_pipeline.run(spark, small).toPandas()
     assert 0 < len(rows) < docs.count() and rows["doc_id"].is_unique
+
+
+def test_toxicity_weighs_runs_that_ordinary_texts_also_hold(spark):
+    random = np.random.default_rng(6)
+    parts = ["ander", "oning", "ereth", "stion", "ateal", "inghe"]
+    docs = []
+    for i in range(1200):  # marked words are every tenth word of toxic texts, and now and then one of an ordinary text
+        own = ["".join(random.choice(parts, 2)) for _ in range(120)]
+        toxic = i % 4 == 0
+        for k in np.flatnonzero(random.random(120) < (0.1 if toxic else 0.008)):
+            own[k] = "achli" + random.choice(parts)
+        own += [] if toxic else ["xcalmx"] * int(random.integers(1, 4))
+        docs.append((i, " ".join(own), int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.filter("doc_id % 3 > 0"), frame.select("doc_id", "toxic"))
+    assert b"achli" in model.toxic and b"xcalm" in model.ordinary
+    rows = frame.filter("doc_id % 3 = 0").withColumn("score", toxicity.score(model, F.col("text"))).collect()
+    assert sum((r["score"] >= 0.3) == bool(r["toxic"]) for r in rows) > 0.97 * len(rows)
+
+
+def test_toxicity_warns_of_a_dictionary_it_cannot_train():
+    texts = [[b"alpha", b"beta"]]
+    own = toxicity._frequencies(texts)
+    with pytest.warns(UserWarning, match="dictionary"):
+        assert b"alpha" in toxicity.train_dictionary(texts, own, own, 4.0)
