@@ -4,8 +4,10 @@ Sources, ordered by code point with null last, weigh 1, 2, 3, 1, 2, 3 … and sh
 weight; a target stops at three times its source's size and the excess is shared again by weight
 among the others until no target is above. A source takes all documents a whole number of times
 and, for the rest of its budget, an exact subset: documents are counted by exact length, every
-length gives its proportional share, a bounded knapsack over the counts fits what remains, and
-within a length the documents with the smallest seeded hashes are chosen.
+length gives its proportional share, a bounded knapsack over the counts fits what remains as closely
+as possible from below or above, and within a length the documents with the smallest seeded hashes are
+chosen. A fit that is not exact is tried again with more of the budget left to the knapsack, until all
+of it is or ``WIDEST`` words are.
 
 What meets in one task is small by construction: a source's histogram of exact lengths (its row
 count is at most the square root of twice the source's size), and hash buckets of about
@@ -30,58 +32,87 @@ from ordersight.session import cut
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 BUCKET_ROWS = 500
-EXACT = 8192  # budgets up to this many words are fitted by dynamic programming
+EXACT = 8192  # words of a budget that are left to dynamic programming at first
+WIDEST = 1 << 22  # and at most, if the fit is not exact before; a megabyte of bits for each step
 SMALL_ROWS = 20_000  # tables up to this many rows (about a megabyte) are broadcast
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their sizes sum to ``budget`` or close to it."""
-    took = np.zeros(len(lengths), np.int64)
+    """How many documents of each length to take so that their sizes sum to ``budget`` or close to it.
+
+    No choice comes closer for budgets up to ``WIDEST``.
+    """
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
-        return took
+        return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
+    step = int(np.gcd.reduce(lengths[counts > 0]))  # every sum is a multiple of it
+    unavoidable = min(budget % step, step - budget % step)
+    best, least, reserve = None, total, EXACT
+    while True:
+        took = _fit(lengths, counts, budget, total, reserve)
+        error = abs(budget - int((took * lengths).sum()))
+        if best is None or error < least:
+            best, least = took, error
+        if least <= unavoidable or reserve >= min(budget, WIDEST):
+            return best
+        reserve *= 8
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, reserve: int) -> np.ndarray:
+    """Proportional shares for all but about ``reserve`` words of the budget, and a knapsack for those."""
     share = [int(c) * budget for c in counts.tolist()]
-    took[:] = [s // total for s in share]
+    took = np.array([s // total for s in share], np.int64)
     left = budget - int((took * lengths).sum())
     by_remainder = sorted(range(len(lengths)), key=lambda i: (-(share[i] % total), -int(lengths[i])))
     for i in by_remainder:  # one more of the lengths that lost most in rounding
-        if lengths[i] and took[i] < counts[i] and left - lengths[i] >= EXACT:
+        if lengths[i] and took[i] < counts[i] and left - lengths[i] >= reserve:
             took[i] += 1
             left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
-        if lengths[i] and left - lengths[i] >= EXACT:
-            more = min(int(counts[i] - took[i]), (left - EXACT) // int(lengths[i]))
+    by_length = np.argsort(-lengths, kind="stable").tolist()
+    for i in by_length:
+        if lengths[i] and left - lengths[i] >= reserve:
+            more = min(int(counts[i] - took[i]), (left - reserve) // int(lengths[i]))
             took[i] += more
             left -= more * int(lengths[i])
-    if left <= 2 * EXACT:
-        took, left = _knapsack(lengths, counts, took, left)
-    above = [i for i in range(len(lengths)) if counts[i] > took[i] and left < lengths[i] < 2 * left]
-    if above:  # one document beyond the budget that comes closer than none
-        took[min(above, key=lambda i: lengths[i])] += 1
-    return took
+    if reserve > EXACT:
+        for i in by_length:  # given back, for the knapsack to choose anew
+            if lengths[i] and left < reserve:
+                back = min(int(took[i]), -(-(reserve - left) // int(lengths[i])))
+                took[i] -= back
+                left += back * int(lengths[i])
+    return _knapsack(lengths, counts, took, left)
 
 
-def _knapsack(lengths: np.ndarray, counts: np.ndarray, took: np.ndarray, left: int) -> tuple[np.ndarray, int]:
-    """Bounded knapsack over the counts that remain; bit s of ``reach`` says that sum s can be made."""
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, took: np.ndarray, left: int) -> np.ndarray:
+    """Bounded knapsack over the counts that remain; bit s of ``reach`` says that sum s can be made.
+
+    Sums above twice ``left`` are farther from it than none at all.
+    """
+    most = 2 * left
+    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
     for i in np.argsort(-lengths, kind="stable").tolist():
         size = int(lengths[i])
-        spare = min(int(counts[i] - took[i]), left // size) if 0 < size <= left else 0
+        spare = min(int(counts[i] - took[i]), most // size) if 0 < size <= most else 0
         part = 1
         while spare > 0 and not reach >> left & 1:
             n = min(part, spare)
-            steps.append((i, n, reach))
-            reach |= reach << (n * size) & mask
+            wider = reach | reach << (n * size) & mask
+            if wider != reach:
+                steps.append((i, n, reach))
+                reach = wider
             spare, part = spare - n, part * 2
-    best = at = reach.bit_length() - 1
+    at = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> (left + 1)
+    if above and (beyond := (above & -above).bit_length()) < left - at:
+        at = left + beyond
     took = took.copy()
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             took[i] += n
             at -= n * int(lengths[i])
-    return took, left - best
+    return took
 
 
 def _ranked_sources(totals: DataFrame) -> DataFrame:

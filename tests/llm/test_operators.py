@@ -266,3 +266,21 @@ def test_toxicity_warns_of_a_dictionary_it_cannot_train():
     own = toxicity._frequencies(texts)
     with pytest.warns(UserWarning, match="dictionary"):
         assert b"alpha" in toxicity.train_dictionary(texts, own, own, 4.0)
+
+
+def test_fit_is_the_closest_sum_of_long_documents():
+    cases = [([20000, 60000], [1, 1], 25000), ([9000, 30000, 90000], [2, 1, 1], 17000), ([30000, 50000], [1, 1], 52000)]
+    cases.append(([30000, 50000], [10, 10], 390000))
+    random = np.random.default_rng(7)
+    for _ in range(20):
+        lengths = np.unique(random.integers(5000, 90000, 6))
+        counts = random.integers(1, 4, len(lengths))
+        cases.append((lengths, counts, int(random.integers(1, (lengths * counts).sum()))))
+    for lengths, counts, budget in cases:
+        sums = {0}
+        for size, n in zip(lengths, counts, strict=True):
+            sums = {s + k * int(size) for s in sums for k in range(n + 1)}
+        lengths, counts = np.array(lengths), np.array(counts)
+        took = mixing.fit(lengths, counts, budget)
+        assert (took <= counts).all() and (took >= 0).all()
+        assert abs(int((took * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
