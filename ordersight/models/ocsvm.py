@@ -7,7 +7,8 @@ vector, and the shortest mix of several of them, found on the driver, is the cur
 
 A bounded sample suggests directions; the averages themselves are always taken over the whole table,
 one pass for all directions at once. Further passes add the average along the current solution until
-the duality gap, also measured over the whole table, is small.
+the duality gap, also measured over the whole table, is small; a fit that does not get there in the
+given rounds is an error, never a model.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from ordersight.session import cut, cut_for_passes
 
 NU = 0.05
 FOURIER_FEATURES = 256
-ROUNDS = 8
+ROUNDS = 200  # passes after which a fit that has not converged is an error
 BINS = 4096
 SAMPLE_ROWS = 20_000
 SUGGESTIONS = 24
@@ -175,6 +176,8 @@ def fit_one_class(
             break
         atoms = np.vstack([atoms, atom])
         w = shortest_mix(atoms) @ atoms
+    else:
+        raise RuntimeError(f"one-class SVM: the duality gap is {gap:.3g} after {rounds} rounds, above {tolerance:g} of the objective")
     low, high, share = low_tail_border(numeric, columns, projection, w, nu)
     return OneClassModel(projection, w, low + (high - low) * share, done, gap)
 

@@ -71,10 +71,14 @@ def previous_in_key(
     # at most rows / per_task keys, or values of a key, can be this large: at most MAX_CHUNKS
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     large = cut(counts.where(F.col("_n") > per_task).select(key, F.lit(1).alias("_large")))
-    flagged = df.join(F.broadcast(large), key, "left")
+    # null-safe, so that a large null key is cut like any other
+    large = F.broadcast(large.withColumnRenamed(key, "_large_key"))
+    flagged = df.join(large, F.col(key).eqNullSafe(F.col("_large_key")), "left").drop("_large_key")
     instants = flagged.where("_large = 1").groupBy(key, order).agg(F.count("*").alias("_n"), F.min(tie).alias("_first"))
     tied = cut(instants.where(F.col("_n") > per_task).drop("_n"))
-    known = flagged.join(F.broadcast(tied), [key, order], "left")
+    tied = F.broadcast(tied.withColumnsRenamed({key: "_tied_key", order: "_tied_order"}))
+    same = F.col(key).eqNullSafe(F.col("_tied_key")) & F.col(order).eqNullSafe(F.col("_tied_order"))
+    known = flagged.join(tied, same, "left").drop("_tied_key", "_tied_order")
     followers = F.coalesce(F.col(tie) != F.col("_first"), F.lit(False))
     marked = with_chunk(known.where(~followers), order, rows, chunks).withColumn(
         "chunk", F.when(F.col("_large") == 1, F.col("chunk")).otherwise(-1)
@@ -85,7 +89,9 @@ def previous_in_key(
     borders = ends.select(
         key, "chunk", F.lag("_end").over(Window.partitionBy(key).orderBy("chunk")).alias("_before")
     )
-    ordered = lagged.join(borders, [key, "chunk"], "left").withColumn(result, F.coalesce("_inside", "_before"))
+    borders = borders.withColumnsRenamed({key: "_border_key", "chunk": "_border_chunk"})
+    at = F.col(key).eqNullSafe(F.col("_border_key")) & (F.col("chunk") == F.col("_border_chunk"))
+    ordered = lagged.join(borders, at, "left").withColumn(result, F.coalesce("_inside", "_before"))
     columns = [*df.columns, result]
     return ordered.select(*columns).unionByName(known.where(followers).withColumn(result, F.col(order)).select(*columns))
 

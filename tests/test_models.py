@@ -162,3 +162,9 @@ def test_grid_search(spark, points):
     got = sorted(map(str, run().collect()))
     assert len(got) == 4 and got == sorted(map(str, run().collect()))
     assert run().agg(F.min("label_auc")).first()[0] > 0.95
+
+
+def test_one_class_svm_raises_when_it_has_not_converged(spark):
+    rows = [(float(x), float(y)) for x, y in np.random.default_rng(8).normal(size=(500, 2))]
+    with pytest.raises(RuntimeError, match="duality gap"):
+        ocsvm.fit_one_class(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], rounds=1, tolerance=-1.0)

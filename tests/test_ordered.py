@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ordersight.operators import ordered
 from ordersight.operators.ordered import counted_values, exact_quantiles, previous_in_key
 from ordersight.operators.scores import label_metrics
 from ordersight.sources.tables import gap_seconds, orders_of_events, table
@@ -98,3 +99,17 @@ def test_null_group_keeps_its_rows_in_chunks(spark):
         tuple(sorted(r.asDict().items())) for r in whole if r["g"]
     }
     assert sorted(r["n_before"] for r in cut_up if r["g"] is None) == list(range(60))
+
+
+def test_previous_in_key_cuts_a_large_null_key(spark, monkeypatch):
+    rows = [(None if i % 4 else i % 8, (i * 7) % 90, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, i int")
+    joined = []
+    chunked = ordered.with_chunk
+    monkeypatch.setattr(ordered, "with_chunk", lambda df, *a: joined.append(df) or chunked(df, *a))
+    result = ordered.previous_in_key(df, "k", "t", "i", "before", rows_per_task=50)
+    expected, last = {}, {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        expected[i], last[k] = last.get(k), t
+    assert {r["i"]: r["before"] for r in result.collect()} == expected
+    assert joined[0].where("k is null and _large = 1").count() == 300
