@@ -7,8 +7,10 @@ words that are matched; a find needs at least ``COVERAGE``.
 
 Whole texts are scanned. A template is tried only where it can succeed: the text must hold enough of
 its words, and a stretch starts at a word of the template and holds enough of them within its width.
-Both are necessary conditions of coverage, so nothing is missed by them. After a find the scan goes on
-behind it, so repeated notices are all found. The work is one narrow pass; templates travel with it.
+Both are necessary conditions of coverage, so nothing is missed by them. Every such stretch is aligned,
+and of finds that overlap the one with the highest coverage stays, then the shortest and the first, so
+that a template word ahead of a notice does not cut its end. Behind an exact copy the scan goes on, and
+repeated notices are all found. The work is one narrow pass; templates travel with it.
 
 A null, empty or wordless text has no finds; repeated rows and null ids are scanned alike; an empty
 table gives no rows; templates without words are never found.
@@ -119,17 +121,25 @@ class Scanner:
         template = np.searchsorted(self.known, self.words[t]).tolist()
         at = there[self.uses[own[there], t] > 0]
         within = np.searchsorted(at, at + self.width[t]) - np.arange(len(at))  # template words in the stretch
-        out, after = [], 0
+        accepted, after = set(), 0
         for start in at[within >= self.need[t]].tolist():
             if start < after:
                 continue
             stretch = own[start : start + self.width[t]].tolist()
             pairs = align(template, stretch)
             if len(pairs) >= self.need[t]:
-                low, high = min(j for _, j in pairs), max(j for _, j in pairs)
-                after = start + high + 1
-                out.append({"license": self.names[t], "coverage": len(pairs) / len(template), "start": start + low, "end": after})
-        return out
+                low, high = min(j for _, j in pairs), max(j for _, j in pairs) + 1
+                accepted.add((-len(pairs), high - low, start + low, start + high))
+                if len(pairs) == len(template) == high - low:  # nothing that overlaps it is better
+                    after = start + high
+        chosen: list[tuple[int, int, int]] = []
+        for matched, _, low, high in sorted(accepted):
+            k = bisect_left(chosen, (low, high, 0))
+            if (k == 0 or chosen[k - 1][1] <= low) and (k == len(chosen) or high <= chosen[k][0]):
+                chosen.insert(k, (low, high, -matched))
+        return [
+            {"license": self.names[t], "coverage": n / len(template), "start": low, "end": high} for low, high, n in chosen
+        ]
 
 
 def find(text: Column, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> Column:

@@ -284,3 +284,13 @@ def test_fit_is_the_closest_sum_of_long_documents():
         took = mixing.fit(lengths, counts, budget)
         assert (took <= counts).all() and (took >= 0).all()
         assert abs(int((took * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_licenses_keep_the_best_of_overlapping_stretches(odd):
+    line, isc = licenses.TEMPLATES["GPL-3.0-line"], licenses.TEMPLATES["ISC"]
+    n, m = len(line.replace(",", "").split()), len(isc.replace("/or", " or").split())
+    text = f"The public x is y z {line} general of a {line} " + "the and x y " * 4 + isc
+    found = odd.limit(1).select(licenses.find(F.lit(text)).alias("f")).first()["f"]
+    own = [(r["license"], r["coverage"], r["start"], r["end"]) for r in found]
+    first = 6 + 2 * n + 3 + 16
+    assert own == [("GPL-3.0-line", 1.0, 6, 6 + n), ("GPL-3.0-line", 1.0, 9 + n, 9 + 2 * n), ("ISC", 1.0, first, first + m)]
