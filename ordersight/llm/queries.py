@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ordersight.llm import (
     decontamination,
+    filter_audit,
     jaccard,
     language_id,
     language_model,
     licenses,
+    manifest,
     mixing,
+    pieces,
     quality_model,
     rules,
     toxicity,
@@ -125,3 +128,49 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.array_max(F.col("_found.coverage")), F.lit(0.0)).alias("coverage"),
         F.col("_found").alias("found"),
     )
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(PIECES)
+    encoded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
+    decoded = encoded.withColumn("decoded", pieces.decoder(path)("ids"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        pieces.digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_filter_audit", filter_audit.twin_sql())
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, folder, "labels").select("doc_id", "quality", "toxic"))
+
+
+TAMPERED = 3  # every third document, by the crc32 of its id
+
+
+@query("op11_merkle_manifest", manifest.twin_sql())
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, folder, "documents").select(*columns)
+    leaf = manifest.leaf(*[F.col(c) for c in columns])
+    changed = F.when(remainder("doc_id", TAMPERED) == 0, manifest.leaf(*map(F.col, columns[:-1]), manifest.lowered("text")))
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), changed.alias("tampered"))
+    proved = manifest.build(leaves, leaf="leaf", group="lang", order="doc_id", keep=("doc_id", "tampered"))
+    folded = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
