@@ -11,7 +11,7 @@ each distinct text (by its sha256) is joined back by id, not by text, so a large
 pre-aggregated and never one task. Only ids, digests and five bits are shuffled; labels come along the same id.
 
 A null text is an empty text, a null source the empty part. A row without an id has no smaller or larger
-ids: it never fails the fifth filter and makes no other row fail. Rows that share an id and a text fail
+ids: it never fails the fifth filter, makes no other row fail, and has no labels. Rows that share an id and a text fail
 alike. Several labels of one id count if one of them marks it. An empty table gives no rows; other columns are
 not read.
 """
