@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from ordersight.session import cut, fresh_dir
 
-BLOCK = 1 << 24  # characters of a block, unless one text is longer
+BLOCK = 1 << 23  # characters of a block, unless one text is longer
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 ACROSS = re.compile(f"[^{MARK}]{MARK}")
@@ -84,7 +84,7 @@ def segment(path: str, marked: list[str]) -> list[list[int]]:
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 class _Block:
@@ -110,8 +110,10 @@ class _Block:
         by = np.argsort(bucket, kind="stable")
         filled, counts = np.unique(bucket, return_counts=True)
         n = len(filled) + 1
-        ends = np.concatenate([[0], np.cumsum(counts), [len(listed)]]).astype(np.int32)
-        texts = pa.ListArray.from_arrays(pa.array(ends), pa.array([listed[i] for i in by.tolist()], pa.string()))
+        ends = np.cumsum(counts).tolist()
+        in_order = [listed[i] for i in by.tolist()]
+        # a chunk holds no space, so that spaces part the chunks of a row
+        texts = [" ".join(in_order[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
 
         def last(values: pa.Array) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array([0] * n + [len(values)], pa.int32()), values)
@@ -120,7 +122,7 @@ class _Block:
         columns = [
             pa.array([name] * n, pa.int64()),
             pa.array([*filled.tolist(), -1], pa.int32()),
-            texts,
+            pa.array([*texts, None], pa.string()),
             last(kept),
             last(pa.array([len(c) for c in self.codes], pa.int32())),
             last(pa.array(np.concatenate(self.codes))),
@@ -150,32 +152,34 @@ def _blocks(buckets: int):
     return cut_texts
 
 
-def _segmented(path: str):
+def _segmented(path: str, kind: type):
     def of_bucket(rows: pa.Table) -> pa.Table:
-        listed = rows["chunks"].combine_chunks()
-        each = np.asarray(listed.value_lengths())
-        coded = listed.flatten().dictionary_encode()
-        found = segment(path, coded.dictionary.to_pylist())
+        seen: dict[str, int] = {}  # the distinct chunks of this bucket, whatever blocks they are from
+        places = []
+        for listed in rows["chunks"]:
+            own = listed.as_py().split(" ")
+            places.append(np.fromiter((seen.setdefault(c, len(seen)) for c in own), np.int32, len(own)))
+        found = segment(path, list(seen))
         lengths = np.array([len(ids) for ids in found], np.int32)
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
-        at = coded.indices.to_numpy()
-        ids, counts = _gather(flat, lengths, at), lengths[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        sums = np.concatenate([[0], np.cumsum(counts)])[ends]
-        return pa.table(
-            {"block": rows["block"], "bucket": rows["bucket"], "counts": _lists(counts, each), "ids": _lists(ids, np.diff(sums))}
-        )
+        flat = np.fromiter(chain.from_iterable(found), kind, int(lengths.sum()))
+        at, each = np.concatenate(places), np.array([len(own) for own in places])
+        counts = lengths[at]
+        sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[np.concatenate([[0], np.cumsum(each)])]
+        ids = _lists(_gather(flat, lengths, at), np.diff(sums))
+        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "counts": _lists(counts, each), "ids": ids})
 
     return of_bucket
 
 
 def _gather(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs ``at`` of ``flat``, one behind the other, where run k is ``lengths[k]`` long."""
-    starts = np.cumsum(lengths, dtype=np.int64) - lengths
-    taken = lengths[at].astype(np.int64)
-    ends = np.cumsum(taken)
+    starts, taken = np.cumsum(lengths, dtype=np.int64) - lengths, lengths[at]
+    ends = np.cumsum(taken, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[at] - (ends - taken), taken) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    places = np.repeat((starts[at] - (ends - taken)).astype(kind), taken)
+    places += np.arange(total, dtype=kind)
+    return flat[places]
 
 
 def _joined(blocks: pa.Table, segmented: pa.Table) -> pa.Table:
@@ -187,10 +191,10 @@ def _joined(blocks: pa.Table, segmented: pa.Table) -> pa.Table:
     slot = np.empty(len(by), np.int64)
     slot[by] = np.arange(len(by))
     at, sizes = slot[numbers(blocks, "codes")], numbers(blocks, "sizes")
-    ids = _gather(flat, counts, at) if len(at) else np.zeros(0, np.int32)
-    sums = np.concatenate([[0], np.cumsum(counts[at] if len(at) else at)])[np.concatenate([[0], np.cumsum(sizes)])]
+    ids = _gather(flat, counts, at).astype(np.int32) if len(at) else np.zeros(0, np.int32)
+    sums = np.concatenate([[0], np.cumsum(counts[at] if len(at) else at, dtype=np.int64)])
     kept = blocks["kept"].combine_chunks().flatten()
-    return pa.table([kept, _lists(ids, np.diff(sums))], names=["kept", "ids"])
+    return pa.table([kept, _lists(ids, np.diff(sums[np.concatenate([[0], np.cumsum(sizes)])]))], names=["kept", "ids"])
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -210,7 +214,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         [
             StructField("block", LongType()),
             StructField("bucket", IntegerType()),
-            StructField("chunks", ArrayType(StringType())),
+            StructField("chunks", StringType()),
             StructField("kept", ArrayType(inner)),
             *[StructField(name, numbers) for name in ("sizes", "codes", "buckets")],
         ]
@@ -221,9 +225,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name goes; the files and the plan that reads them stay
     listed = blocks.filter("bucket >= 0").select("block", "bucket", "chunks")
-    segmented = cut(
-        listed.groupBy("bucket").applyInArrow(_segmented(path), "block long, bucket int, counts array<int>, ids array<int>")
+    short = processor(path).vocab_size() <= 1 << 15
+    kind, sql = (np.int16, "smallint") if short else (np.int32, "int")
+    segmented = listed.groupBy("bucket").applyInArrow(
+        _segmented(path, kind), f"block long, bucket int, counts array<int>, ids array<{sql}>"
     )
+    segmented = cut(segmented)
     documents = blocks.filter("bucket < 0").select("block", "kept", "sizes", "codes", "buckets")
     both = documents.groupBy("block").cogroup(segmented.groupBy("block"))
     result = StructType([StructField("kept", inner), StructField("ids", numbers)])
@@ -238,7 +245,8 @@ def decoder(path: str):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         model = processor(path)
-        return pa.array([None if own is None else model.decode(own) for own in ids.to_pylist()], pa.string())
+        # one list of Python numbers at a time
+        return pa.array([model.decode(own.as_py()) if own.is_valid else None for own in ids], pa.string())
 
     return decode
 
