@@ -85,12 +85,22 @@ def segment(path: str, marked: list[str]) -> list[list[int]]:
 
 def pack(data: bytes) -> bytes:
     """Compressed bytes: chunk lists and ids travel and lie on disk as a third of their size."""
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 3)
 
 
 unpack = zstandard.decompress
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Positions byte plane by byte plane: their high bytes are nearly all zero."""
+    return pack(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_codes(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpack(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -134,7 +144,7 @@ class _Block:
             pa.array([*[pack(own.encode()) for own in texts], None], pa.binary()),
             last(kept),
             last(pa.array([len(c) for c in self.codes], pa.int32())),
-            last(pa.array(np.concatenate(self.codes))),
+            pa.array([*[None] * len(filled), pack_codes(np.concatenate(self.codes))], pa.binary()),
             last(pa.array(bucket)),
         ]
         return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "chunks", "kept", "sizes", "codes", "buckets"])
@@ -200,7 +210,7 @@ def _joined(kind: type):
         by = np.argsort(numbers("buckets"), kind="stable")
         slot = np.empty(len(by), np.int32)
         slot[by] = np.arange(len(by), dtype=np.int32)
-        at, sizes = slot[numbers("codes")], numbers("sizes")
+        at, sizes = slot[unpack_codes(blocks["codes"][0].as_py())], numbers("sizes")
         sums = np.concatenate([[0], np.cumsum(counts[at], dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
         ids = _lists(_gather(flat, counts, at).astype(np.int32), np.diff(sums))
         return pa.table([blocks["kept"].combine_chunks().flatten(), ids], names=["kept", "ids"])
@@ -227,7 +237,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
             StructField("bucket", IntegerType()),
             StructField("chunks", BinaryType()),
             StructField("kept", ArrayType(inner)),
-            *[StructField(name, numbers) for name in ("sizes", "codes", "buckets")],
+            StructField("sizes", numbers),
+            StructField("codes", BinaryType()),
+            StructField("buckets", numbers),
         ]
     )
     name = f"blocks_{uuid.uuid4().hex}"
