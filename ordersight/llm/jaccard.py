@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document's set is its distinct word shingles as 64-bit hashes. Documents with equal sets form one
-class at once; only classes are joined. Tokens are ordered rare first, by a sketch of counts over
-all documents, so that prefixes hold the most selective tokens.
+class at once; only classes are joined. Rare tokens come first in their order, by a sketch of counts over
+all documents.
 
 * **Rare tokens** are indexed one by one, within the standard prefix.
 * **Frequent tokens** are reached only by sets with fewer rare tokens than the prefix is long. Such a
@@ -11,12 +11,15 @@ all documents, so that prefixes hold the most selective tokens.
   be neighbours in both orders. Neighbouring frequent tokens of the extended prefix are indexed as
   2-token combinations, which are as many as the prefix is long.
 
+The sketch tells frequent from rare; within each of both, tokens are ordered by their hash.
+
 Two linked sets that are not equal share a key. A candidate must pass bounds on its sizes and on the
 symmetric difference (each set carries the parity of its tokens in 512 buckets; bits that differ
 cannot exceed the difference), then it is verified exactly. To find components without all pairs of a
-group, each key first links its members with a leader of its own choice; keys whose members are
-already one component are done, and only pairs across components are verified in the end.
-What is collected is the sketch, whose size is fixed; it decides the order, never the result.
+group, keys link their members with leaders first, which all keys choose alike; keys whose members are
+one component are done. Rounds with more leaders follow until hardly any partners in other components are
+left, and those are all verified. What is collected is the sketch, whose size is fixed; it decides the order,
+never the result.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. Fewer words than a shingle form one token; without words
 the set is empty and linked with nothing. A null id can be linked but names no component; rows with
@@ -36,14 +39,14 @@ from pyspark.sql import functions as F
 
 from ordersight.llm import tokens
 from ordersight.llm.components import components
-from ordersight.llm.scratch import release
+from ordersight.llm.scratch import release, unused
 from ordersight.session import cut
 
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
-STAR_ROUNDS = 2
-FEW_PARTNERS = 64  # partners in other components for an average posting, from which on all are looked at
+FEW_PARTNERS = 4  # partners in other components for an average posting, from which on all are looked at
+MORE_LEADERS = 4  # times as many leaders in each round
 PARITY_WORDS = 8
 WIDE_WORDS = 64  # of the second parity, for candidates only
 BITS = tuple(f"w{i}" for i in range(PARITY_WORDS))
@@ -279,53 +282,112 @@ class _Join:
         return joined.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
     def run(self) -> DataFrame:
-        """``node, comp`` of the classes with links."""
-        postings, columns = self.postings().withColumn("comp", F.col("node")), ("key", "node", "n", "comp", *BITS)
-        for turn in range(STAR_ROUNDS):
-            by = F.xxhash64(F.lit(turn), "key", "node")
-            top = postings.groupBy("key").agg(F.min(F.struct(by.alias("by"), *columns[1:])).alias("top"))
-            leaders = top.select(F.col("key").alias("_key"), *[F.col(f"top.{c}").alias(f"_{c}") for c in columns[1:]])
-            self.check(self.pairs_of(postings, leaders, F.col("comp") != F.col("_comp")))
-            found = cut(components(self.links()))
-            postings = postings.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            several = postings.groupBy("key").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")
-            )
-            postings = cut(postings.join(several.filter("low <> high").select("key", "c"), "key"))
-            size = postings.agg(F.count(F.lit(1)), F.sum(F.col("c") - 1)).first()
-            postings = postings.drop("c")
-            if (size[1] or 0) <= FEW_PARTNERS * size[0]:
-                break
-        if not size[0]:
-            return found
-        other = postings.select(*[F.col(c).alias(f"_{c}") for c in columns])
-        self.check(self.pairs_of(postings, other, F.col("comp") < F.col("_comp")))
-        return cut(components(self.links()))
-
+        """``node, comp`` of the classes with links.
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+        Leaders are the nodes of least hash, the same for all keys of a group. Every round compares what a
+        key still holds outside a leader's component with its leaders: one at first, then more and more, until
+        so few partners are left that all are compared. Nodes that have joined a component meet none of it again.
+        """
+        postings, columns = self.postings().withColumn("comp", F.col("node")), ("key", "node", "n", "comp", *BITS)
+        leaders, found = 1, None
+        while True:
+            sizes = postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+            sizes = sizes.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("c * c > same")
+            several = postings.join(sizes.select("key", "c", (F.col("c") * F.col("c") - F.col("same")).alias("cross")), "key")
+            open_, postings = postings, cut(several)
+            release(open_)
+            state = postings.agg(F.count(F.lit(1)), F.sum(F.col("cross") / F.col("c")), F.max("c")).first()
+            if not state[0]:
+                return found if found is not None else cut(components(self.no_links()))
+            every = state[1] <= FEW_PARTNERS * state[0] or leaders >= state[2]
+            other = postings.select("c", *[F.col(c).alias(f"_{c}") for c in columns])
+            if every:
+                chosen, once = other, F.col("comp") < F.col("_comp")
+            elif leaders == 1:
+                by = F.struct(F.xxhash64("_node").alias("by"), *[F.col(f"_{c}") for c in columns[1:]])
+                chosen = other.groupBy("_key").agg(F.min(by).alias("top")).select("_key", "top.*")
+                once = F.col("comp") != F.col("_comp")
+            else:
+                share = F.pmod(F.xxhash64("_node"), F.lit(1 << 20)) / (1 << 20)
+                chosen, once = other.filter(share * F.col("c") < leaders), F.col("comp") != F.col("_comp")
+            done = self.check(self.pairs_of(postings, chosen.drop("c"), once))
+            links = done.filter("linked").select("a", "b")
+            # what is known as one star for each component, and the new links
+            known = links if found is None else found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links)
+            before, found = found, cut(components(known))
+            if before is not None:
+                release(before)
+            if every:
+                return found
+            labels = found.withColumnRenamed("comp", "_new")
+            relabelled = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("_new", "comp"))
+            closed, postings = postings, cut(relabelled.select(*columns))
+            release(closed)
+            leaders *= MORE_LEADERS
+
+    def no_links(self) -> DataFrame:
+        return self.classes.filter("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+
+def _members(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
+    """``id, n, node, check, component, named``: every row with its component and the node of that component's smallest id."""
     join = _Join(docs, id, text, width, percent)
     found = join.run()
     named = join.classes.select("node", "check", "n", "rep").join(found, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    named = cut(named.join(least, "comp").select("node", "check", "n", "component"))
-    rows = join.rows.select("id", "n", "node", "check").join(named, ["node", "check", "n"], "left")
-    return rows.select(
+    # a null id names no component; of several nodes with the smallest id the smallest counts
+    key = F.struct(F.col("rep").isNull().alias("no"), F.col("rep"), F.col("node"), F.col("check"))
+    least = named.groupBy("comp").agg(F.min(key).alias("least"))
+    named = named.join(least, "comp").select(
+        "node", "check", "n", F.col("least.rep").alias("component"), F.struct("least.node", "least.check").alias("named")
+    )
+    return join.rows.select("id", "n", "node", "check").join(cut(named), ["node", "check", "n"], "left")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """One row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    return _members(docs, id, text, width, percent).select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _node_of(text: Column, width: int) -> Column:
+    @F.arrow_udf("struct<node:bigint,check:bigint>")
+    def name(texts: pa.Array) -> pa.Array:
+        both = [signature(own) for own in _rows_of(texts, width, tokens.powers())]
+        columns = [pa.array([pair[i] for pair in both], pa.int64()) for i in (0, 1)]
+        return pa.StructArray.from_arrays(columns, ["node", "check"])
+
+    return name(text)
+
+
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """One row of each component: that with the smallest id. Rows without an id stay; repeated ids stay once."""
-    member = near_duplicates(docs.select(id, text), id, text, width, percent)
-    member = cut(member.filter(F.col(id).isNotNull()).select(F.col(id).alias("_id"), (F.col("component_id") == F.col(id)).alias("_first")))
-    verdict = member.groupBy("_id").agg(F.bool_and("_first").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    marked = cut(verdict.filter("not _first or _rows > 1"))
-    gone, repeated = marked.select("_id"), marked.filter("_first").select("_id")
-    once = docs.join(_small(gone), F.col(f"`{id}`") == F.col("_id"), "left_anti")
+    """One row of each component: one with the smallest id.
+
+    Rows without an id or without words stay. Where rows share an id, each is judged by its own text, and of
+    rows that share both the id and the words one stays.
+    """
+    member = _members(docs.select(id, text), id, text, width, percent).filter("id is not null and n > 0")
+    # the row that names its component
+    first = (F.col("component") == F.col("id")) & (F.struct("node", "check") == F.col("named"))
+    member = cut(member.select("id", F.struct("node", "check").alias("own"), first.alias("first")))
+    verdict = member.groupBy("id").agg(F.bool_and("first").alias("first"), F.count(F.lit(1)).alias("c"))
+    marked = cut(verdict.filter("not first or c > 1"))
+    key = unused(docs, "key")
+    gone, repeated = marked.filter("c = 1").select(F.col("id").alias(key)), marked.filter("c > 1").select(F.col("id").alias(key))
+    at = F.col(f"`{id}`") == F.col(key)
+    once = docs.join(_small(gone), at, "left_anti")
     if repeated.isEmpty():
         return once
-    again = docs.join(_small(repeated), F.col(f"`{id}`") == F.col("_id"), "left_semi").dropDuplicates([id])
-    return once.unionByName(again)
+    own = unused(docs, "own")
+    again = docs.join(_small(repeated), at, "left_semi").withColumn(own, _node_of(F.col(f"`{text}`").cast("string"), width))
+    firsts = member.join(_small(repeated), F.col("id") == F.col(key), "left_semi").filter("first").distinct()
+    firsts = firsts.select(F.col("id").alias(key), F.col("own").alias(f"{own}_"))
+    kept = again.join(firsts, at & (F.col(own) == F.col(f"{own}_")), "left_semi").dropDuplicates([id, own]).drop(own)
+    wordless = again.filter(F.col(own) == _node_of_nothing()).drop(own)
+    return once.join(_small(repeated), at, "left_anti").unionByName(kept).unionByName(wordless)
+
+
+def _node_of_nothing() -> Column:
+    node, check = signature(np.zeros(0, np.uint64))
+    return F.struct(F.lit(node).alias("node"), F.lit(check).alias("check"))

@@ -1,4 +1,4 @@
-"""Removal of written intermediates that are no longer read."""
+"""Removal of written intermediates that are no longer read, and names for private columns."""
 
 from __future__ import annotations
 
@@ -13,3 +13,11 @@ def release(df: DataFrame) -> None:
     spark = df.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made of ``name`` that ``df`` does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken or f"{name}_".lower() in taken:
+        name = f"_{name}"
+    return name
