@@ -45,8 +45,8 @@ from ordersight.session import cut
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
-FEW_PARTNERS = 4  # partners in other components for an average posting, from which on all are looked at
-MORE_LEADERS = 4  # times as many leaders in each round
+FEW_PARTNERS = 64  # partners in other components for an average posting, from which on all are looked at
+MORE_LEADERS = 16  # times as many leaders in each round
 PARITY_WORDS = 8
 WIDE_WORDS = 64  # of the second parity, for candidates only
 BITS = tuple(f"w{i}" for i in range(PARITY_WORDS))
