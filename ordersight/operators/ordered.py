@@ -18,6 +18,8 @@ from ordersight.session import cut
 ROWS_PER_TASK = 1_000_000
 MAX_CHUNKS = 4096
 EDGE_SAMPLE = 400_000
+SLACK = 0.004  # half the width of a quantile's first bracket, as a share of the rows
+WIDER = 16
 
 
 def chunk_count(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
@@ -150,6 +152,51 @@ def counted_values(
     )
 
 
+def _brackets(values: DataFrame, keys: list[str], probabilities: list[float], slack: float) -> DataFrame:
+    """``keys``, row count ``n``, and bounds ``low`` and ``high`` around each probability, from a mergeable sketch.
+
+    The sketch errs by a quarter of ``slack`` at most. Groups too small for that margin take their whole range.
+    """
+    ends = [[min(1.0, max(0.0, p + side * slack)) for p in probabilities] for side in (-1, 1)]
+    sketch = F.percentile_approx("v", [*ends[0], *ends[1]], max(1, round(4 / slack)))
+    stats = values.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), sketch.alias("at"))
+    k, tight = len(probabilities), F.col("n") * slack >= 4
+    low = F.array(*[F.when(tight & F.lit(p > slack), F.col("at")[i]).otherwise(F.col("least")) for i, p in enumerate(probabilities)])
+    high = F.array(
+        *[F.when(tight & F.lit(p < 1 - slack), F.col("at")[k + i]).otherwise(F.col("most")) for i, p in enumerate(probabilities)]
+    )
+    return stats.select(*keys, "n", low.alias("low"), high.alias("high"))
+
+
+def _picked(values: DataFrame, brackets: DataFrame, keys: list[str], names: dict[str, float], rows_per_task, discrete) -> DataFrame:
+    """One row per group and probability with the neighbours of its rank, null where the bracket misses them."""
+    own = brackets.withColumnsRenamed({c: f"_{c}" for c in keys})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    bounds = F.array(
+        *[F.struct(F.lit(name).alias("p"), F.col("low")[i].alias("low"), F.col("high")[i].alias("high")) for i, name in enumerate(names)]
+    )
+    each = values.join(own, same).select(*keys, "v", F.inline(bounds))
+    # all values below a bracket are one row of each task; only those inside are told apart
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    counts = cut(each.where("v <= high").groupBy(*keys, "p", inside.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    groups = [*keys, "p"]
+    below = counts.groupBy(*groups).agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("below"))
+    below = below.withColumnsRenamed({c: f"_{c}" for c in groups})
+    counted = counted_values(counts, "v", groups, {"c": F.sum("c")}, rows_per_task)
+    at_group = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in groups])
+    counted = counted.join(below, at_group).drop(*[f"_{c}" for c in groups]).join(own.select("n", *[f"_{c}" for c in keys]).withColumnRenamed("n", "all"), same)
+    share = F.create_map(*[F.lit(x) for pair in names.items() for x in (pair[0], float(pair[1]))])[F.col("p")]
+    target = F.greatest(F.ceil(F.col("all") * share) - 1, F.lit(0)) if discrete else (F.col("all") - 1) * share
+    first = F.col("below") + F.col("c_before")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < first + F.col("c")), F.col("value")))
+
+    return counted.groupBy(*groups).agg(
+        at(F.floor(target)).alias("lo"), at(F.ceil(target)).alias("hi"), F.max(target - F.floor(target)).alias("w")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
@@ -161,27 +208,26 @@ def exact_quantiles(
     """Exact quantiles, long form: ``by``, ``column``, one column per probability.
 
     Linear interpolation between neighbours, or with ``discrete`` the first value whose cumulative
-    share reaches the probability.
+    share reaches the probability. Selection in two passes over the written columns: a sketch brackets each
+    probability, then values below the bracket are counted and only those inside are collapsed and ordered.
+    A bracket that misses its rank (the sketch's bound rules it out but for NaN, which no sketch orders) is
+    widened, in the end to the whole range, so the result does not rest on the sketch.
     """
     by = by or []
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
-    keys = [*by, "column"]
-    counted = counted_values(df.select(*by, F.inline(cells)), "v", keys, rows_per_task=rows_per_task)
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(hit, F.col("value")))
-
-    picks = []
-    for name, p in probabilities.items():
-        if discrete:
-            picks.append(at(F.greatest(F.ceil(F.col("n_total") * float(p)) - 1, F.lit(0))).alias(name))
-            continue
-        target = (F.col("n_total") - 1) * float(p)
-        picks += [at(F.floor(target)).alias(f"_{name}_lo"), at(F.ceil(target)).alias(f"_{name}_hi")]
-        picks.append(F.max(target - F.floor(target)).alias(f"_{name}_w"))
-    found = counted.groupBy(*keys).agg(*picks)
-    if discrete:
-        return found
-    between = lambda n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")
-    return found.select(*keys, *[between(n).alias(n) for n in probabilities])
+    groups, cells = [f"_by{i}" for i in range(len(by))], [f"_v{i}" for i in range(len(columns))]
+    keys = [*groups, "_column"]  # private names: those of the caller's columns cannot clash
+    of = [F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]
+    narrow = cut(df.select(*of, *[F.col(c).cast("double").alias(v) for c, v in zip(columns, cells, strict=True)]))
+    pairs = [F.struct(F.lit(c).alias("_column"), F.col(v).alias("v")) for c, v in zip(columns, cells, strict=True)]
+    values = narrow.select(*groups, F.inline(F.array(*pairs))).where("v is not null")
+    slack = SLACK
+    while True:
+        brackets = cut(_brackets(values, keys, list(probabilities.values()), slack))
+        picked = cut(_picked(values, brackets, keys, probabilities, rows_per_task, discrete))
+        if slack >= 1 or picked.where("lo is null or hi is null").isEmpty():
+            break
+        slack *= WIDER
+    value = F.col("lo") if discrete else F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")
+    found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == name, value)).alias(name) for name in probabilities])
+    names = [F.col(g).alias(c) for g, c in zip(keys, [*by, "column"], strict=True)]
+    return found.select(*names, *probabilities)

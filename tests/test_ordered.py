@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ordersight.operators import ordered
 from ordersight.operators import ordered
 from ordersight.operators.ordered import counted_values, exact_quantiles, previous_in_key
 from ordersight.operators.scores import label_metrics
@@ -113,3 +114,32 @@ def test_previous_in_key_cuts_a_large_null_key(spark, monkeypatch):
         expected[i], last[k] = last.get(k), t
     assert {r["i"]: r["before"] for r in result.collect()} == expected
     assert joined[0].where("k is null and _large = 1").count() == 300
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001, 40_000])
+def test_quantiles_by_brackets(spark, n):
+    """Brackets narrower than the data, heavy ties, a null group, a constant group and clashing names."""
+    rng = np.random.default_rng(n)
+    frame = pd.DataFrame({"v": np.round(rng.normal(size=n), 2), "n": rng.random(n), "p": np.where(np.arange(n) % 3 == 0, "a", None)})
+    frame.loc[frame.p == "a", "n"] = 5.0
+    wanted = {"lo": 0.0, "q1": 0.25, "most": 0.999, "hi": 1.0}
+    got = exact_quantiles(spark.createDataFrame(frame).replace(float("nan"), None), ["v", "n"], wanted, ["p"]).collect()
+    assert len(got) == 4
+    for row in got:
+        own = frame[frame.p == "a"] if row.p == "a" else frame[frame.p.isna()]
+        np.testing.assert_allclose([row[k] for k in wanted], np.quantile(own[row.column], list(wanted.values())), rtol=1e-12)
+
+
+def test_quantiles_widen_a_bracket_that_misses(spark, monkeypatch):
+    """A bracket beside its rank is found out and widened; the result stays exact."""
+    tried = []
+
+    def beside(values, keys, probabilities, slack, real=ordered._brackets):
+        tried.append(slack)
+        found = real(values, keys, probabilities, slack)
+        return found if slack >= 1 else found.withColumn("low", F.col("high"))
+
+    monkeypatch.setattr(ordered, "_brackets", beside)
+    frame = spark.range(5000).select(F.col("id").cast("double").alias("v"))
+    assert exact_quantiles(frame, ["v"], {"m": 0.5}).first().m == 2499.5
+    assert len(tried) > 1
