@@ -41,7 +41,10 @@ def daily_rollup(orders: DataFrame, key: Column, ts: Column, amount: Column, hou
     spine = daily.groupBy("series_key").agg(F.min("date").alias("a"), F.max("date").alias("b")).select(
         "series_key", F.explode(F.sequence("a", "b")).alias("date")
     )
-    full = spine.join(daily, ["series_key", "date"], "left")
+    # null-safe, so that the series of the null key keeps its values
+    own = daily.withColumnsRenamed({"series_key": "_key", "date": "_date"})
+    at = F.col("series_key").eqNullSafe(F.col("_key")) & (F.col("date") == F.col("_date"))
+    full = spine.join(own, at, "left").drop("_key", "_date")
     if empty == "null":
         return full
     return full.select("series_key", "date", *[F.coalesce(c, F.lit(0)).alias(c) for c in MEASURES])

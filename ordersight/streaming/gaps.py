@@ -16,19 +16,24 @@ COLUMNS = [field.split()[0] for field in OUTPUT.split(", ")]
 
 
 def _gaps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State is the user's latest order time; an order older than it gets no gap and leaves it unchanged."""
+    """State is the user's latest order time; an order older than it gets no gap and leaves it unchanged.
+
+    So does an order without a time.
+    """
     parts = list(batches)
     rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    us = rows["us"].to_numpy()
+    timed = rows["us"].notna().to_numpy()
+    us = rows["us"].fillna(0).to_numpy(np.int64)
     last = state.get[0] if state.exists else None
     order = np.lexsort((rows["event_id"].to_numpy(), us))
+    order = order[timed[order]]
     timely = order if last is None else order[us[order] >= last]
     gap = np.full(len(rows), np.nan)
     if len(timely):
         before = np.concatenate([[np.nan if last is None else last], us[timely[:-1]]])
         gap[timely] = (us[timely] - before) / 1e6
         state.update((int(us[timely[-1]]),))
-    yield rows.assign(time_diff=gap)[COLUMNS]
+    yield rows.assign(us=pd.Series(us, rows.index).astype("Int64").where(timed), time_diff=gap)[COLUMNS]
 
 
 def stream_gap_state(orders: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ordersight.operators.series import daily_rollup
 from ordersight.models import arima, unit_root
 from ordersight.operators import series as T
 
@@ -175,3 +176,12 @@ def test_accuracy_formulae(spark):
     r = T.forecast_accuracy(df, ["k"]).first()
     assert (r.n, r.mae, r.mse, r.rmse, r.mape) == (2, 1.25, 2.13, 1.46, 50.0)
     assert r.r2 == pytest.approx(1 - 4.25 / 6.125, abs=1e-4)
+
+
+def test_null_series_key_keeps_its_values(spark):
+    rows = [(None, "2024-01-01", 7.0), (None, "2024-01-03", 9.0), ("a", "2024-01-01", 1.0)]
+    frame = spark.createDataFrame(rows, "k string, t string, a double").withColumn("t", F.col("t").cast("timestamp"))
+    got = daily_rollup(frame, F.col("k"), F.col("t"), F.col("a")).collect()
+    assert sorted((r.series_key or "", str(r.date), r.daily_amount) for r in got) == [
+        ("", "2024-01-01", 7.0), ("", "2024-01-02", 0.0), ("", "2024-01-03", 9.0), ("a", "2024-01-01", 1.0),
+    ]

@@ -120,3 +120,22 @@ def test_late_rows_leave_closed_windows_alone(spark):
     stream_sink(live, sink, fresh_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     counts = {str(r.start): r.total_count for r in read_sink(spark, sink).collect()}
     assert counts == {"2024-01-01 00:00:00": 1, "2024-01-01 01:00:00": 1, "2024-01-01 05:00:00": 2}
+
+
+def test_a_null_time_does_not_stop_the_stream(spark):
+    """An order without a time has no gap; the orders after it keep theirs, in this batch and the next."""
+    from ordersight.streaming.gaps import stream_gap_state
+
+    layout = "user_id long, event_id long, ts timestamp, amount double"
+    source, checkpoint = fresh_dir(spark, "source"), fresh_dir(spark, "checkpoint")
+    at = lambda s: None if s is None else START + dt.timedelta(seconds=s)
+    found = {}
+    for batch in ([(7, 1, 0), (7, 2, None), (7, 3, 4), (8, 4, None)], [(7, 5, None), (7, 6, 10), (8, 7, 1), (None, 8, 2)]):
+        rows = [(user, event, at(s), 1.0) for user, event, s in batch]
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(source)
+        gapped = stream_gap_state(spark.readStream.schema(layout).parquet(source))
+        keep = lambda df, _: found.update({r.event_id: (r.ts, r.time_diff) for r in df.collect()})
+        writer = gapped.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert {event: gap for event, (_, gap) in found.items()} == {1: None, 2: None, 3: 4.0, 4: None, 5: None, 6: 6.0, 7: None, 8: None}
+    assert [event for event, (ts, _) in sorted(found.items()) if ts is None] == [2, 4, 5]
