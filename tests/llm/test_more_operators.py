@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ordersight.llm import filter_audit, manifest, pieces
+from ordersight.llm import filter_audit, jaccard, manifest, pieces
 from ordersight.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -199,3 +199,38 @@ def test_audit_equals_brute_force(spark, odd):
 def test_positional_counts(n):
     words = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32)
     assert filter_audit.positional_counts(words).tolist() == [int((words >> np.uint32(b) & np.uint32(1)).sum()) for b in range(32)]
+
+
+def test_jaccard_rounds_with_more_leaders(spark, monkeypatch):
+    """All rounds, from one leader to all partners, end in the components of brute force."""
+    monkeypatch.setattr(jaccard, "FEW_PARTNERS", 0)
+    monkeypatch.setattr(jaccard, "MORE_LEADERS", 8)
+    rng = np.random.default_rng(3)
+    base, docs = [f"w{x}" for x in rng.integers(0, 400, 60)], []
+    for i in range(60):
+        own = list(base)
+        for at in rng.integers(0, 60, 2):
+            own[at] = f"n{rng.integers(0, 99)}"
+        docs.append((i, " ".join(own)))
+    sets = [{tuple(text.split()[k : k + 5]) for k in range(56)} for _, text in docs]
+    comp = list(range(60))
+    for _ in docs:
+        for a in range(60):
+            for b in range(60):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = jaccard.near_duplicates(frame, width=5, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(comp))
+
+
+def test_keep_first_judges_rows_not_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (5, a + " more"), (5, b), (6, b), (6, b), (7, ""), (7, None), (None, a), (8, "c d"), (8, "e f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = frame.withColumns({c: F.lit(1) for c in ("_id", "id", "node", "key", "own", "_key")})
+    kept = jaccard.keep_first(frame)
+    assert kept.columns == frame.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found == Counter([(3, a), (5, b), (7, ""), (7, None), (None, a), (8, "c d"), (8, "e f")])
