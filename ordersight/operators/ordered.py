@@ -1,52 +1,36 @@
 """Ordered operators that stay balanced when one key or range holds most rows.
 
-A plain window puts a whole key in one task. Here a large key or range is cut into
-consecutive chunks, each chunk is handled on its own, and the small per-chunk totals
-carry the result across chunk borders, so every row is used and the result is exact.
+A plain window puts a whole key in one task. Here rows are range-partitioned by (key, order), so a large key
+spans as many tasks as its rows need; each range is handled on its own, and what the ranges before it left
+behind (one row each) carries the result across their borders. Tables of every size take this one path.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.session import cut
 
 ROWS_PER_TASK = 1_000_000
-MAX_CHUNKS = 4096
-EDGE_SAMPLE = 400_000
 SLACK = 0.004  # half the width of a quantile's first bracket, as a share of the rows
 WIDER = 16
 
 
-def chunk_count(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
-    return max(1, min(MAX_CHUNKS, -(-rows // rows_per_task)))
+def ranged(df: DataFrame, order: list[str], rows_per_task: int | None = None) -> DataFrame:
+    """Add ``_part``: number of the row's range of ``order``, ascending; ranges hold similar row counts.
 
-
-def with_chunk(df: DataFrame, column: str, rows: int, chunks: int) -> DataFrame:
-    """Add ``chunk``: 0-based position of ``column`` in ``chunks`` ranges of similar row count.
-
-    The range borders come from a bounded sample, as for Spark's own range partitioning;
-    they only balance the work. The borders (at most ``MAX_CHUNKS`` numbers) are plan literals.
+    Spark's range partitioner samples the borders, and adaptive execution merges small ranges, so there are
+    at most ``spark.sql.shuffle.partitions`` of them unless ``rows_per_task`` asks for others. Borders are drawn anew
+    whenever the plan runs: write the result before using it twice.
     """
-    if chunks == 1:
-        return df.withColumn("chunk", F.lit(0))
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    if rows > EDGE_SAMPLE:
-        values = values.sample(fraction=EDGE_SAMPLE / rows, seed=42)
-    probabilities = [i / chunks for i in range(1, chunks)]
-    edges = sorted(set(values.approxQuantile("v", probabilities, 0.1 / chunks)))
-    splits = [float("-inf"), *edges, float("inf")]
-    keyed = df.withColumn("_chunk_key", F.col(column).cast("double"))
-    bucketizer = Bucketizer(splits=splits, inputCol="_chunk_key", outputCol="_chunk", handleInvalid="keep")
-    return (
-        bucketizer.transform(keyed)
-        .withColumn("chunk", F.coalesce(F.col("_chunk").cast("int"), F.lit(-1)))
-        .drop("_chunk_key", "_chunk")
-    )
+    if rows_per_task is None:
+        spread = df.repartitionByRange(*order)
+    else:
+        spread = df.repartitionByRange(max(1, -(-df.count() // rows_per_task)), *order)
+    return spread.withColumn("_part", F.spark_partition_id())
 
 
 def previous_in_key(
@@ -57,45 +41,21 @@ def previous_in_key(
     result: str,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Add ``result``: numeric ``order`` of the previous row of the same ``key`` (null for the first).
+    """Add ``result``: ``order`` of the previous row of the same ``key`` (null for the first of a key).
 
-    Rows are ordered by ``order`` then ``tie``, which must be unique in a key. A key above
-    ``rows_per_task`` rows is cut into consecutive ranges of ``order``, and the last value of the range
-    before fills each border. Where that many rows of a key share one ``order``, all but the first follow
-    an equal row, so only the first takes part in the ordering.
+    Rows are ordered by ``order`` then ``tie``, which must be unique in a key; nulls come first, and the null key
+    is a key like any other. Hot keys, and keys with many rows at one ``order``, are cut like the rest. The rows are
+    written once, with the lag inside their range; only the first row of a range looks at the end of the one before.
     """
-    rows = df.count()
-    per_task = rows_per_task or max(ROWS_PER_TASK, rows // MAX_CHUNKS)
-    chunks = chunk_count(rows, per_task)
-    if chunks == 1:
-        ordered = Window.partitionBy(key).orderBy(order, tie)
-        return df.withColumn(result, F.lag(order).over(ordered))
-    # at most rows / per_task keys, or values of a key, can be this large: at most MAX_CHUNKS
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    large = cut(counts.where(F.col("_n") > per_task).select(key, F.lit(1).alias("_large")))
-    # null-safe, so that a large null key is cut like any other
-    large = F.broadcast(large.withColumnRenamed(key, "_large_key"))
-    flagged = df.join(large, F.col(key).eqNullSafe(F.col("_large_key")), "left").drop("_large_key")
-    instants = flagged.where("_large = 1").groupBy(key, order).agg(F.count("*").alias("_n"), F.min(tie).alias("_first"))
-    tied = cut(instants.where(F.col("_n") > per_task).drop("_n"))
-    tied = F.broadcast(tied.withColumnsRenamed({key: "_tied_key", order: "_tied_order"}))
-    same = F.col(key).eqNullSafe(F.col("_tied_key")) & F.col(order).eqNullSafe(F.col("_tied_order"))
-    known = flagged.join(tied, same, "left").drop("_tied_key", "_tied_order")
-    followers = F.coalesce(F.col(tie) != F.col("_first"), F.lit(False))
-    marked = with_chunk(known.where(~followers), order, rows, chunks).withColumn(
-        "chunk", F.when(F.col("_large") == 1, F.col("chunk")).otherwise(-1)
-    )
-    inside = Window.partitionBy(key, "chunk").orderBy(order, tie)
-    lagged = marked.withColumn("_inside", F.lag(order).over(inside))
-    ends = marked.where("_large = 1").groupBy(key, "chunk").agg(F.max(order).alias("_end"))
-    borders = ends.select(
-        key, "chunk", F.lag("_end").over(Window.partitionBy(key).orderBy("chunk")).alias("_before")
-    )
-    borders = borders.withColumnsRenamed({key: "_border_key", "chunk": "_border_chunk"})
-    at = F.col(key).eqNullSafe(F.col("_border_key")) & (F.col("chunk") == F.col("_border_chunk"))
-    ordered = lagged.join(borders, at, "left").withColumn(result, F.coalesce("_inside", "_before"))
-    columns = [*df.columns, result]
-    return ordered.select(*columns).unionByName(known.where(followers).withColumn(result, F.col(order)).select(*columns))
+    here = F.struct(F.col(key).alias("key"), F.col(order).alias("at"))
+    inside = Window.partitionBy("_part").orderBy(key, order, tie)
+    lagged = cut(ranged(df, [key, order, tie], rows_per_task).withColumn("_inside", F.lag(here).over(inside)))
+    # one row per range, so that this window and the broadcast hold as many rows as one shuffle has tasks
+    ends = lagged.groupBy("_part").agg(F.max(here).alias("_end"))
+    borders = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_border"))
+    before = F.coalesce("_inside", "_border")
+    found = F.when(before["key"].eqNullSafe(F.col(key)), before["at"])
+    return lagged.join(F.broadcast(borders), "_part", "left").select(*df.columns, found.alias(result))
 
 
 def counted_values(
@@ -108,42 +68,36 @@ def counted_values(
     """One row per (``by``, value) with the counts of that value, of all smaller ones and of the group.
 
     Columns: ``by``, ``value`` and, for the row count ``n`` and each additive aggregate in ``extra``,
-    ``<name>``, ``<name>_before`` and ``<name>_total``. Equal values collapse before the shuffle and the
-    collapsed table is written, so the input is evaluated once; the running totals are taken inside value
-    ranges and shifted by the totals of the ranges before.
+    ``<name>``, ``<name>_before`` and ``<name>_total``. Equal values collapse before the shuffle; the running totals
+    are taken inside ranges of (``by``, value), written once and shifted by the totals of the ranges before.
     """
     aggregates = {"n": F.count("*"), **(extra or {})}
-    grouped = cut(
+    grouped = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("value"))
         .agg(*[agg.alias(name) for name, agg in aggregates.items()])
     )
-    rows = grouped.count()
-    per_task = rows_per_task or max(ROWS_PER_TASK, rows // MAX_CHUNKS)
-    chunks = chunk_count(rows, per_task)
-    grouped = with_chunk(grouped, "value", rows, chunks)
-    inside = Window.partitionBy(*by, "chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     before = [F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_before") for c in aggregates]
-    if chunks == 1:
-        whole = Window.partitionBy(*by, "chunk")
-        return grouped.select("*", *before, *[F.sum(c).over(whole).alias(f"{c}_total") for c in aggregates]).drop("chunk")
-    # at most MAX_CHUNKS rows per group
-    across = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    running = cut(ranged(grouped, [*by, "value"], rows_per_task).select("*", *before))
+    # ranges are in the order of the groups: all groups together have one row per range and one more each
+    across = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
     shifts = (
-        grouped.groupBy(*by, "chunk")
+        running.groupBy(*by, "_part")
         .agg(*[F.sum(c).alias(f"_{c}") for c in aggregates])
         .select(
             *by,
-            "chunk",
+            "_part",
             *[F.coalesce(F.sum(f"_{c}").over(across), F.lit(0)).alias(f"_{c}_shift") for c in aggregates],
             *[F.sum(f"_{c}").over(group).alias(f"{c}_total") for c in aggregates],
         )
     )
     # null-safe, so that the null group keeps its rows
-    shifts = shifts.withColumnsRenamed({c: f"_shift_{c}" for c in (*by, "chunk")})
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_shift_{c}")) for c in (*by, "chunk")])
-    return grouped.select("*", *before).join(shifts, same).select(
+    keys = [*by, "_part"]
+    shifts = shifts.withColumnsRenamed({c: f"_shift_{c}" for c in keys})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_shift_{c}")) for c in keys])
+    return running.join(shifts, same).select(
         *by,
         "value",
         *aggregates,

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ordersight.operators import ordered
 from ordersight.operators import ordered
 from ordersight.operators.ordered import counted_values, exact_quantiles, previous_in_key
 from ordersight.operators.scores import label_metrics
@@ -102,18 +101,26 @@ def test_null_group_keeps_its_rows_in_chunks(spark):
     assert sorted(r["n_before"] for r in cut_up if r["g"] is None) == list(range(60))
 
 
-def test_previous_in_key_cuts_a_large_null_key(spark, monkeypatch):
+def test_previous_in_key_cuts_a_large_null_key(spark):
     rows = [(None if i % 4 else i % 8, (i * 7) % 90, i) for i in range(400)]
     df = spark.createDataFrame(rows, "k int, t int, i int")
-    joined = []
-    chunked = ordered.with_chunk
-    monkeypatch.setattr(ordered, "with_chunk", lambda df, *a: joined.append(df) or chunked(df, *a))
     result = ordered.previous_in_key(df, "k", "t", "i", "before", rows_per_task=50)
     expected, last = {}, {}
     for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
         expected[i], last[k] = last.get(k), t
     assert {r["i"]: r["before"] for r in result.collect()} == expected
-    assert joined[0].where("k is null and _large = 1").count() == 300
+    parts = ordered.ranged(df, ["k", "t", "i"], 50).groupBy("_part").agg(F.count_if(F.col("k").isNull()).alias("nulls"))
+    sizes = [r.nulls for r in parts.collect() if r.nulls]
+    assert sum(sizes) == 300 and len(sizes) >= 5 and max(sizes) <= 100
+
+
+def test_previous_in_key_of_no_rows_and_of_null_times(spark):
+    layout = "k int, t int, i int"
+    assert ordered.previous_in_key(spark.createDataFrame([], layout), "k", "t", "i", "before").collect() == []
+    rows = [(1, None, 1), (1, None, 2), (1, 5, 3), (2, 7, 4), (2, 9, 5)]
+    for per_task in (None, 1, 2):
+        got = ordered.previous_in_key(spark.createDataFrame(rows, layout), "k", "t", "i", "before", per_task).collect()
+        assert {r.i: r.before for r in got} == {1: None, 2: None, 3: None, 4: None, 5: 7}
 
 
 @pytest.mark.parametrize("n", [999, 1000, 1001, 40_000])
