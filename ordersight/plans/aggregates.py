@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ordersight.functions.rounding import round_doubles
 from ordersight.operators import aggregates as A
 from ordersight.plans.columns import AMOUNT_BAND, AMOUNT_BIN, HOUR_BIN, SCORE_BUCKET
-from ordersight.plans.registry import query
+from ordersight.plans.registry import TWINS, query
 from ordersight.plans.views import CC, CLEAN, NORM, RULE, TX, cards, cleaned, norm_scored, r, rule_scored, rush
-from ordersight.sources.tables import transactions
+from ordersight.sources.tables import table, transactions
 
 
 def stats_sql(column: str) -> str:
@@ -28,6 +28,12 @@ def descriptive_stats(spark, folder):
     return round_doubles(A.descriptive_stats(transactions(spark, folder), accuracy=None), 4)
 
 
+@query("descriptive_stats_sketch", TWINS["descriptive_stats"])
+def descriptive_stats_sketch(spark, folder):
+    """The one-pass form; the medians may be off by a millionth of the ranks, so not at all below a million rows."""
+    return round_doubles(A.descriptive_stats(transactions(spark, folder), accuracy=1_000_000), 4)
+
+
 @query(
     "descriptive_stats_exact",
     f"""with {CLEAN} select count(*) sample_count, {stats_sql("amount")}, {stats_sql("time_diff")},
@@ -220,6 +226,48 @@ def correlation_matrix(spark, folder):
     return round_doubles(A.correlation_matrix(cleaned(spark, folder), CORRELATED))
 
 
+# The card features that are looked at together.
+CARD_FEATURES = (1, 2, 3, 4, 7, 10, 11, 12, 14, 17)
+CARD_COLUMNS = [*[f"V{i}" for i in CARD_FEATURES], "Amount", "Class"]
+
+
+def pairs_sql(cells: str) -> str:
+    return f"""{cells}
+    select a.name column_a, b.name column_b, {r("case when a.name = b.name then 1.0::double else corr(a.v, b.v) end")} correlation
+    from cells a join cells b using (vec_id) group by a.name, b.name"""
+
+
+@query(
+    "card_correlation_matrix",
+    pairs_sql(
+        f"""with {CC}, cells as (
+      select vec_id, 'V' || i as name, V[i] v from cc cross join (select unnest({list(CARD_FEATURES)}) i)
+      union all select vec_id, 'Amount', "Amount" from cc union all select vec_id, 'Class', "Class" from cc)"""
+    ),
+)
+def card_correlation_matrix(spark, folder):
+    values = F.array(*[F.col("V")[i - 1] for i in CARD_FEATURES], F.col("Amount"), F.col("Class").cast("double"))
+    return round_doubles(A.vector_correlation(cards(spark, folder), values, CARD_COLUMNS))
+
+
+@query(
+    "embedding_correlation_matrix",
+    pairs_sql("with cells as (select vec_id, 'V' || i as name, embedding[i]::double v from embeddings cross join range(1, 65) t(i))"),
+)
+def embedding_correlation_matrix(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return round_doubles(A.vector_correlation(vectors, F.col("embedding"), [f"V{i}" for i in range(1, 65)]))
+
+
+@query(
+    "card_amount_shape",
+    f"""with {CC} select 'Amount' as "column", {describe_sql('"Amount"')}, {r('skewness("Amount")', 4)} skewness,
+    {r('kurtosis("Amount")', 4)} kurtosis from cc""",
+)
+def card_amount_shape(spark, folder):
+    return round_doubles(A.distribution_shape(cards(spark, folder), ["Amount"]), 4)
+
+
 @query(
     "label_correlation_topk",
     f"""with {CC}, cells as (
@@ -315,6 +363,16 @@ def card_density_histogram(spark, folder):
     )
 
 
+@query(
+    "card_density_wide",
+    f"""with {CC} {density_sql("cc", '"Amount"', '"Class"', {0: 100, 1: 50}, '"Amount" <= 2500')}""",
+)
+def card_density_wide(spark, folder):
+    return round_doubles(
+        A.class_density_histogram(cards(spark, folder), "Amount", "Class", {0: 100, 1: 50}, up_to=2500), center=4
+    )
+
+
 def boxplot_sql(source: str, column: str, label: str) -> str:
     return f"""select {label}, {r("q1", 4)} q1, {r("med", 4)} median, {r("q3", 4)} q3,
       {r(f"min({column}) filter (inside)", 4)} whisker_low, {r(f"max({column}) filter (inside)", 4)} whisker_high,

@@ -116,23 +116,22 @@ def drop_null_rows(spark, folder):
     return round_doubles(Q.drop_null_rows(transactions(spark, folder).select(*TX_COLUMNS)), 4)
 
 
-PAIRS = "l_orderkey, l_linenumber, l_returnflag"
 
 
 @query(
     "duplicate_count",
     f"""select cast(sum(n) as bigint) total_rows, cast(sum(n - 1) as bigint) duplicate_rows,
     {r("sum(n - 1) * 100.0::double / sum(n)", 4)} duplicate_pct
-    from (select {PAIRS}, count(*) n from lineitem group by all)""",
+    from (select *, count(*) n from lineitem group by all)""",
 )
 def duplicate_count(spark, folder):
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return round_doubles(Q.duplicate_count(rows), 4)
+    return round_doubles(Q.duplicate_count(table(spark, folder, "lineitem")), 4)
 
 
-@query("drop_duplicates", f"select distinct {PAIRS} from lineitem")
+@query("drop_duplicates", "select distinct * replace (cast(l_shipdate as varchar) as l_shipdate) from lineitem")
 def drop_duplicates(spark, folder):
-    return Q.drop_duplicates(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    rows = Q.drop_duplicates(table(spark, folder, "lineitem"))
+    return rows.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 @query("distinct_rows", f"with {TX} select distinct user_id, order_time, device_type from tx")

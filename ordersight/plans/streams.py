@@ -16,7 +16,7 @@ from ordersight.plans.views import GAP_LT, RULE, TX, r
 from ordersight.schemas import FEATURES
 from ordersight.session import cut, fresh_dir
 from ordersight.sources.models import save_model
-from ordersight.sources.tables import orders_of_events, table, transactions
+from ordersight.sources.tables import table, transactions
 from ordersight.streaming import detect
 from ordersight.streaming.io import read_sink, stream_sink, stream_source
 
@@ -156,10 +156,8 @@ def stream_run(spark, folder):
         name=f"run-{sink[-8:]}", available_now=True, gap_lt=GAP_LT,
     )
     running.query.awaitTermination()
-    status = running.stop()
-    return read_sink(spark, sink).agg(
-        F.lit(int(status["is_running"])).alias("is_running"), F.count("*").alias("total_records")
-    )
+    running.stop()
+    return detect.run_totals(spark, sink).select(F.lit(int(running.query.isActive)).alias("is_running"), "total_records")
 
 
 @query(
@@ -183,13 +181,12 @@ def stream_statistics(spark, folder):
 
 @query(
     "stream_window_statistics",
-    f"""with {RULE_STREAM.replace("case when time_diff is not null and time_diff < 2000", "case when false")}
+    f"""with {RULE_STREAM}
     select cast(date_trunc('hour', ts) as varchar) window_start, {STATISTICS} from scored group by 1
     having date_trunc('hour', any_value(ts)) + interval 1 hour <= (select max(ts) - interval 1 hour from tx)""",
 )
 def stream_window_statistics(spark, folder):
-    """Hourly statistics of the closed windows, from the amount and hour rules alone (no gap is known here)."""
-    orders = orders_of_events(event_stream(spark, folder)).withColumn("time_diff", F.lit(None).cast("double"))
-    live = detect.live_statistics(with_rule_score(orders))
+    """Hourly statistics of the closed windows: gap state, score and event-time windows in one stream."""
+    live = detect.live_statistics(with_rule_score(detect.order_stream(event_stream(spark, folder)), gap_lt=GAP_LT))
     windows = run(live, "windows").select(F.col("start").cast("string").alias("window_start"), "*")
     return round_doubles(windows.drop("start", "end", "batch_id"), 4)

@@ -8,14 +8,14 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from ordersight.functions.features import padded_id, with_features, with_rule_score
 from ordersight.models.mixtures import kmeans_distance
 from ordersight.sources.models import load_model
 from ordersight.sources.tables import orders_of_events
 from ordersight.streaming.gaps import stream_gap_state
-from ordersight.streaming.io import stream_sink
+from ordersight.streaming.io import batch_counts, stream_sink
 
 DISTANCE_SCALE = 5.0
 ANOMALY_ABOVE = 0.5
@@ -47,12 +47,18 @@ def stream_features(orders: DataFrame, unknown_device: int = 1) -> DataFrame:
 
 
 def ml_score(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """Distance to the nearest centre over 5, at most 1; anomaly above 0.5. Rows without a gap are left out."""
-    distance = kmeans_distance(features.where("time_diff is not null"), model)
-    score = F.least(F.lit(1.0), F.col("distance") / DISTANCE_SCALE)
-    return distance.withColumn("anomaly_score", score).withColumn(
-        "is_anomaly", (F.col("anomaly_score") > ANOMALY_ABOVE).cast("int")
-    )
+    """Distance to the nearest centre over 5, at most 1; anomaly above 0.5.
+
+    A row that lacks a feature (a user's first order has no gap) stays, with a null score and no anomaly.
+    """
+    kept = {f"_{c}": F.col(c) for c in ("time_diff", "log_amount")}
+    filled = features.withColumns({**kept, **{c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("time_diff", "log_amount")}})
+    known = F.col("_time_diff").isNotNull() & F.col("_log_amount").isNotNull()
+    score = F.when(known, F.least(F.lit(1.0), F.col("distance") / DISTANCE_SCALE))
+    scored = kmeans_distance(filled, model).withColumn("anomaly_score", score)
+    flag = F.coalesce((F.col("anomaly_score") > ANOMALY_ABOVE).cast("int"), F.lit(0))
+    restored = {"time_diff": F.col("_time_diff"), "log_amount": F.col("_log_amount"), "distance": F.when(known, F.col("distance"))}
+    return scored.withColumns({**restored, "is_anomaly": flag}).drop(*kept)
 
 
 def select_mode(spark: SparkSession, mode: str = "auto", model_path: str | None = None) -> tuple[str, PipelineModel | None]:
@@ -76,27 +82,11 @@ def project_results(scored: DataFrame, keep_time: bool = True) -> DataFrame:
     return scored.select(*RESULT_COLUMNS, *(["ts"] if keep_time else []))
 
 
-class RunTotals(StreamingQueryListener):
-    """Batches and rows of one run, summed over every progress report."""
-
-    def __init__(self) -> None:
-        self.run_id: str | None = None
-        self.batches = 0
-        self.rows = 0
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        if str(event.progress.runId) == self.run_id:
-            self.batches += 1
-            self.rows += event.progress.numInputRows
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
+def run_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """One row: batches and records that stand in a sink, exact also after a restart or a repeated batch."""
+    return batch_counts(spark, sink).agg(
+        F.count("*").alias("processed_batches"), F.coalesce(F.sum("records"), F.lit(0)).alias("total_records")
+    )
 
 
 @dataclass
@@ -106,24 +96,22 @@ class DetectionRun:
     spark: SparkSession
     query: StreamingQuery
     mode: str
-    totals: RunTotals
+    sink: str
     started: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
     def status(self) -> dict:
-        # listener events arrive late, recent progress is bounded: the larger of the two is current
-        recent = self.query.recentProgress
+        totals = run_totals(self.spark, self.sink).first()
         return {
             "is_running": self.query.isActive,
             "start_time": self.started.isoformat(timespec="seconds"),
-            "processed_batches": max(self.totals.batches, len(recent)),
-            "total_records": max(self.totals.rows, sum(p.numInputRows for p in recent)),
+            "processed_batches": totals.processed_batches,
+            "total_records": totals.total_records,
             "detection_mode": self.mode,
         }
 
     def stop(self) -> dict:
         if self.query.isActive:
             self.query.stop()
-        self.spark.streams.removeListener(self.totals)
         return self.status()
 
 
@@ -143,11 +131,8 @@ def start_detection(
         raise RuntimeError(f"{name} is already running")
     selected, model = select_mode(spark, mode, model_path)
     results = project_results(score_stream(order_stream(events), selected, model, **thresholds))
-    totals = RunTotals()
-    spark.streams.addListener(totals)
     query = stream_sink(results, sink, checkpoint, name, available_now)
-    totals.run_id = str(query.runId)
-    return DetectionRun(spark, query, selected, totals)
+    return DetectionRun(spark, query, selected, sink)
 
 
 def stream_latest(results: DataFrame, n: int = 50) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ordersight.schemas import EVENT_SCHEMA
 
+COUNTS_SCHEMA = "batch_id long, records long"
+
 TRIGGER = "2 seconds"
 
 
@@ -35,11 +38,20 @@ def stream_sink(
 ) -> StreamingQuery:
     """Append each micro-batch to its own folder; a repeated batch replaces itself, so no row is doubled.
 
-    A failing batch fails the query and is retried from the checkpoint on restart.
+    A failing batch fails the query and is retried from the checkpoint on restart. The rows of a batch are counted
+    while it is written; ``batch_counts`` reads the counts back.
     """
+    spark = stream.sparkSession
+
+    def note(folder: str, rows: list) -> None:
+        spark.createDataFrame(rows, COUNTS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}.counts/{folder}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        seen = Observation()
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        note(str(batch_id), [(batch_id, seen.get["n"])])
+
+    note("start", [])  # the table exists before the first batch does
 
     writer = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:
@@ -48,6 +60,11 @@ def stream_sink(
     return timed.start()
 
 
+def batch_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id, records`` of every batch that stands in the sink; a repeated batch counts once."""
+    return spark.read.schema(COUNTS_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{path}.counts")
+
+
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
     """Everything the sink has written, with the ``batch_id`` of each row."""
     return spark.read.option("basePath", path).parquet(path)
