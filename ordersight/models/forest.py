@@ -1,7 +1,7 @@
 """Isolation forest: hash-sampled trees built in parallel, scored partition by partition.
 
-Each tree needs a fixed number of rows however large the table is, so fitting reads the table once,
-keeps a bounded pool by a hash of the row key and deals the pool out to the trees. The fitted forest
+Each tree needs a fixed number of rows however large the table is, so fitting counts the table, reads it once
+and deals to every tree the rows whose hash falls to it. The fitted forest
 is bounded by its parameters (trees x 2 x samples nodes), which is what makes it safe to broadcast.
 """
 
@@ -24,7 +24,6 @@ TREES, SAMPLES, SEED = 100, 256, 42
 GRID_TREES, GRID_SAMPLES = (50, 100, 200), (128, 256, 512)
 
 HASH_RANGE = 2**52
-POOL_ROWS = 65_536
 OVERSAMPLE = 2.0
 MAX_NODES = 4_000_000
 TREES_PER_TASK = 8
@@ -40,34 +39,32 @@ def path_length(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def hash_below(column, salt: int, share: float):
-    """True for about ``share`` of the keys, decided by a salted hash of the key."""
-    return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(HASH_RANGE)) < int(share * HASH_RANGE)
-
-
 def tree_samples(features: DataFrame, key: str, cells: list[tuple[int, int]], seed: int) -> DataFrame:
-    """(cell, tree) with its sample rows, drawn without replacement; ``cells`` lists (trees, samples)."""
+    """(cell, tree) with its sample rows, drawn without replacement; ``cells`` lists (trees, samples).
+
+    A sample is the rows with the smallest draws of their tree. A tree wants a row with probability ``p``, about twice
+    its share of the table. One hash decides for a block of ``1 / p`` trees: the part of the hash range it falls into
+    names the tree, the place inside that part is the draw. So a large table costs one hash per row and cell, only about
+    twice the samples are shuffled, and every tree draws from the whole table whatever its size.
+    """
     rows = features.count()
-    pool_share = min(1.0, max(POOL_ROWS, 8 * max(samples for _, samples in cells)) / max(rows, 1))
-    pool = features if pool_share == 1.0 else features.where(hash_below(F.col(key), seed, pool_share))
-    pool_rows = rows * pool_share
-    plan = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("cell"),
-                F.lit(trees).alias("trees"),
-                F.lit(samples).alias("samples"),
-                F.lit(int(min(1.0, OVERSAMPLE * (samples + 32) / max(pool_rows, 1)) * HASH_RANGE)).cast("long").alias("limit"),
-            )
-            for i, (trees, samples) in enumerate(cells)
-        ]
-    )
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("cell"), F.col("tree"), F.lit(seed + 1)), F.lit(HASH_RANGE))
+
+    def cell(i: int, trees: int, samples: int):
+        p = min(1.0, OVERSAMPLE * (samples + 32) / max(rows, 1))
+        block = min(trees, max(1, int(1 / p)))
+        fixed = {"cell": i, "trees": trees, "samples": samples, "block": block, "blocks": -(-trees // block)}
+        width = F.lit(max(1, int(p * HASH_RANGE))).cast("long").alias("width")
+        return F.struct(*[F.lit(v).alias(n) for n, v in fixed.items()], width)
+
+    hashed = F.pmod(F.xxhash64(F.col(key), F.col("cell"), F.col("_block"), F.lit(seed + 1)), F.lit(HASH_RANGE))
     dealt = (
-        pool.select("*", F.inline(plan))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-        .withColumn("_draw", draw)
-        .where(F.col("_draw") < F.col("limit"))
+        features.select("*", F.inline(F.array(*[cell(i, *c) for i, c in enumerate(cells)])))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"))
+        .withColumn("_hash", hashed)
+        .withColumns({"_part": F.expr("_hash div width"), "_draw": F.expr("_hash % width")})
+        .where("_part < block")
+        .withColumn("tree", (F.col("_block") * F.col("block") + F.col("_part")).cast("int"))
+        .where("tree < trees")
     )
     total = sum(trees for trees, _ in cells)
     dealt = in_groups(dealt, "cell", "tree", groups=-(-total // TREES_PER_TASK))

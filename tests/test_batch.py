@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,23 @@ def test_sketched_median_is_within_its_rank_error(spark):
     for accuracy in (100, 10_000, None):
         median = A.descriptive_stats(df, accuracy).first().amount_median
         assert abs(median - 10_000) <= 20_001 / (accuracy or 10**9) + 1
+
+
+def test_vector_correlation(spark):
+    """Equal to numpy; rows with a null entry are left out, constants correlate with nothing, no rows give no matrix."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    x[:, 1] += 1e6 + x[:, 0]
+    x[:, 3] = 2.0
+    rows = [(row,) for row in x.tolist()] + [([1.0, None, 2.0, 2.0],), (None,)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(7)
+    names = list("abcd")
+    got = {(r.column_a, r.column_b): r.correlation for r in A.vector_correlation(df, F.col("v"), names).collect()}
+    expected = np.corrcoef(x[:, :3], rowvar=False)
+    for i, a in enumerate("abc"):
+        for j, b in enumerate("abc"):
+            assert got[a, b] == pytest.approx(expected[i, j], abs=1e-9)
+        assert got[a, "d"] is None and got["d", "d"] == 1.0
+    assert A.vector_correlation(df.where("false"), F.col("v"), names).collect() == []
+    with pytest.raises(ValueError, match="names"):
+        A.vector_correlation(df, F.col("v"), ["a"])

@@ -54,6 +54,16 @@ def test_forest_samples_are_full(spark, points):
     assert len(sizes) == 25 and all(r["count"] == (64 if r.cell == 0 else rows) for r in sizes)
 
 
+def test_trees_draw_from_the_whole_table(spark):
+    """No pool bounds what the trees see together; every row is as likely as any other."""
+    rows = spark.range(200_000).select(F.col("id").alias("order_id"))
+    samples = cut(forest.tree_samples(rows, "order_id", [(320, 256), (3, 64)], 1).select("cell", "tree", "order_id"))
+    sizes = samples.groupBy("cell", "tree").count().collect()
+    assert len(sizes) == 323 and all(r["count"] == (64 if r.cell else 256) for r in sizes)
+    first = samples.where("cell = 0").agg(F.countDistinct("order_id").alias("d"), F.avg("order_id").alias("m")).first()
+    assert first.d > 75_000 and abs(first.m - 100_000) < 1000
+
+
 def test_forest_is_bounded():
     with pytest.raises(ValueError, match="nodes"):
         forest.fit_forest(None, COLUMNS, cells=[(100_000, 256)])

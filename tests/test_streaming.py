@@ -55,6 +55,7 @@ def test_repeated_batch_replaces_itself(spark):
     for _ in range(2):  # a lost checkpoint replays batch 0
         stream_sink(stream_source(spark, source), sink, fresh_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     assert read_sink(spark, sink).count() == 2
+    assert tuple(detect.run_totals(spark, sink).first()) == (1, 2)
 
 
 def test_run_control(spark):
@@ -139,3 +140,40 @@ def test_a_null_time_does_not_stop_the_stream(spark):
         writer.trigger(availableNow=True).start().awaitTermination()
     assert {event: gap for event, (_, gap) in found.items()} == {1: None, 2: None, 3: 4.0, 4: None, 5: None, 6: 6.0, 7: None, 8: None}
     assert [event for event, (ts, _) in sorted(found.items()) if ts is None] == [2, 4, 5]
+
+
+def test_totals_before_the_first_batch_and_over_a_restart(spark):
+    source, sink, checkpoint = (fresh_dir(spark, n) for n in ("source", "sink", "checkpoint"))
+    spark.createDataFrame([], EVENT_SCHEMA).write.parquet(source)
+    assert run_once(spark, source, sink, checkpoint).stop()["total_records"] == 0
+    for rows in ([(1, 0, 1), (2, 1, 1)], [(3, 5, 2)]):
+        write_events(spark, source, rows)
+        status = run_once(spark, source, sink, checkpoint).stop()
+    assert status["total_records"] == 3 == read_sink(spark, sink).count() and not status["is_running"]
+
+
+def test_model_mode_keeps_first_orders(spark, small):
+    """A user's first order has no gap: it stays, without a score, and does not count as an anomaly."""
+    features = cut(feature_table(transactions(spark, small)))
+    model = mixtures.fit_kmeans(features)
+    rows = spark.createDataFrame(
+        [("a", 5.0, None, 3, "iOS"), ("b", 5.0, 9.0, 3, "iOS"), ("c", -3.0, 9.0, 3, "PC")],
+        "order_id string, amount double, time_diff double, order_time int, device_type string",
+    )
+    got = {r.order_id: r for r in detect.ml_score(detect.stream_features(rows), model).collect()}
+    assert len(got) == 3 and got["a"].time_diff is None and got["b"].anomaly_score is not None
+    for name in ("a", "c"):
+        assert (got[name].anomaly_score, got[name].is_anomaly) == (None, 0)
+
+
+def test_live_statistics_follow_the_gap_rule(spark):
+    """Gap state and event-time windows in one stream: the second order of a user scores by its gap, across batches too."""
+    source, sink = fresh_dir(spark, "source"), fresh_dir(spark, "sink")
+    for i, seconds in enumerate((14 * 3600, 14 * 3600 + 2, 40 * 3600, 60 * 3600)):
+        write_events(spark, source, [(i, seconds, 1)])
+    scored = detect.score_stream(detect.order_stream(stream_source(spark, source)), "rule", None, gap_lt=5.0)
+    stream_sink(detect.live_statistics(scored), sink, fresh_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    rows = {str(r.start): r for r in read_sink(spark, sink).collect()}
+    first = rows["2024-01-01 14:00:00"]
+    assert first.total_count == 2 and first.max_anomaly_score - first.min_anomaly_score == pytest.approx(0.3)
+    assert rows["2024-01-02 16:00:00"].total_count == 1
