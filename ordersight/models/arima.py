@@ -1,8 +1,10 @@
 """ARIMA and seasonal ARIMA of many daily series, one group per series.
 
 Spark shuffles each series into one group of at most one row per calendar day; the group function
-differences the series, starts from a Hannan-Rissanen regression and refines the conditional sum of
-squares by Levenberg-Marquardt steps that keep both polynomials inside the admissible region.
+differences the series, starts from a Hannan-Rissanen regression, refines the conditional sum of
+squares by Levenberg-Marquardt steps that keep both polynomials inside the admissible region, and then
+maximises the exact likelihood of a Kalman filter from there. Plain models stay stationary and invertible;
+seasonal ones start diffuse and may leave that region.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.models.statespace import kalman_filter, log_likelihood, prediction, scaled_errors
 from ordersight.session import in_groups
 
 Z95 = 1.959963984540054
 PLAIN = (1, 1, 1)
 SEASONAL = (1, 1, 1, 7)
+# dampings of a least-squares round: a sum of squares is cheap, a filter costs the same for one set or many
+ONE_BY_ONE = [(4.0**i,) for i in range(12)]
+AT_ONCE = [(0.2, 1.0, 5.0, 50.0, 1e3, 1e5)]
+LIKELIHOOD_GAIN = 1e-2  # a round that adds less than half of this to the log-likelihood is the last
 SCHEMA = (
     "series_key string, date date, actual double, fitted double, residual double, forecast double, "
     "lower double, upper double, params array<double>, sigma2 double, aic double, bic double, "
@@ -112,54 +119,73 @@ def start_values(w: np.ndarray, shape: Shape) -> np.ndarray:
     return np.linalg.lstsq(np.column_stack(columns), w[first:], rcond=None)[0]
 
 
-def minimise(w: np.ndarray, shape: Shape, params: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Levenberg-Marquardt on the innovations; steps leaving the admissible region are refused."""
-
-    def errors(x: np.ndarray) -> np.ndarray | None:
-        return innovations(w, shape, x) if all(outside_unit_circle(p) for p in shape.polynomials(x)) else None
+def least_squares(errors, params: np.ndarray, rounds: int, least_gain: float, ladder: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Levenberg-Marquardt, until a round gains less than ``least_gain`` of the sum of squares.
 
-    e = errors(params)
-    if e is None:
-        params = np.zeros(shape.size)
-        e = errors(params)
+    ``errors`` maps several parameter vectors to their error vectors, or to None where it refuses them. The dampings
+    of one entry of ``ladder`` are tried together, the next entry only where none of them helps.
+    """
+    e = errors([params])[0]
     damping = 1e-2
-    for _ in range(rounds if shape.size else 0):
-        jacobian = np.empty((len(e), shape.size))
-        for i in range(shape.size):
-            moved = params.copy()
-            step = 1e-6 if params[i] < 0 else -1e-6  # towards zero, so the probe stays admissible
-            moved[i] += step
-            jacobian[:, i] = (errors(moved) - e) / step
+    for _ in range(rounds if len(params) else 0):
+        # probes go towards zero, so they stay admissible
+        steps = np.where(params < 0, 1e-6, -1e-6)
+        probes = errors([params + step * unit for step, unit in zip(steps, np.eye(len(params)))])
+        if any(moved is None for moved in probes):
+            break
+        jacobian = np.column_stack([(moved - e) / step for moved, step in zip(probes, steps)])
         normal, slope = jacobian.T @ jacobian, jacobian.T @ e
         gain = 0.0
-        for _ in range(12):
-            move = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal) + 1e-12), -slope, rcond=None)[0]
-            tried = errors(params + move)
-            if tried is not None and tried @ tried < e @ e:
-                gain = 1 - (tried @ tried) / (e @ e)
-                params, e, damping = params + move, tried, damping / 5
+        scale = np.diag(np.diag(normal) + 1e-12)
+        for factors in ladder:
+            moves = [np.linalg.lstsq(normal + damping * f * scale, -slope, rcond=None)[0] for f in factors]
+            tried = errors([params + m for m in moves])
+            totals = [np.inf if t is None else t @ t for t in tried]
+            best = int(np.argmin(totals))
+            if totals[best] < e @ e:
+                gain = 1 - totals[best] / (e @ e)
+                params, e, damping = params + moves[best], tried[best], damping * factors[best] / 5
                 break
-            damping *= 4
-        if gain < 1e-10:
+        else:
+            damping *= 4 ** len(ladder)
+        if gain < least_gain:
             break
     return params, e
 
 
-def project(y: np.ndarray, e: np.ndarray, ar_full: np.ndarray, ma: np.ndarray, sigma2: float, steps: int):
-    """Means and 95 % half-widths of the next ``steps`` values from the full difference equation."""
-    values, errors = list(y), [*np.zeros(len(y) - len(e)), *e]
-    psi = np.zeros(steps)
-    for h in range(steps):
-        values.append(
-            -sum(ar_full[i] * values[-i] for i in range(1, min(len(ar_full), len(values) + 1)))
-            + sum(ma[j] * errors[-j] for j in range(1, min(len(ma), len(errors) + 1)))
-        )
-        errors.append(0.0)
-        psi[h] = (ma[h] if h < len(ma) else 0.0) - sum(ar_full[i] * psi[h - i] for i in range(1, min(h, len(ar_full) - 1) + 1))
-    return np.array(values[len(y) :]), Z95 * np.sqrt(sigma2 * np.cumsum(psi**2))
+def minimise(w: np.ndarray, shape: Shape, params: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest conditional sum of squares; steps leaving the admissible region are refused."""
+
+    def errors(several: list[np.ndarray]) -> list[np.ndarray | None]:
+        return [innovations(w, shape, x) if admissible(shape, x) else None for x in several]
+
+    start = params if admissible(shape, params) else np.zeros(shape.size)
+    return least_squares(errors, start, rounds, 1e-10, ONE_BY_ONE)
+
 
+def admissible(shape: Shape, params: np.ndarray) -> bool:
+    return all(outside_unit_circle(p) for p in shape.polynomials(params))
 
-def group_function(shape: Shape, steps: int):
+
+def maximise(w: np.ndarray, shape: Shape, params: np.ndarray, enforce: bool, rounds: int = 40) -> np.ndarray:
+    """Parameters of the largest exact likelihood near ``params``; ``enforce`` keeps them admissible."""
+
+    def errors(several: list[np.ndarray]) -> list[np.ndarray | None]:
+        allowed = [not enforce or admissible(shape, x) for x in several]
+        if not any(allowed):
+            return [None] * len(several)
+        tried = [x for x, fine in zip(several, allowed) if fine]
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = iter(scaled_errors(kalman_filter(w, [shape.polynomials(x) for x in tried], diffuse=not enforce)))
+        vectors = [next(found) if fine else None for fine in allowed]
+        return [e if e is not None and np.isfinite(e).all() else None for e in vectors]
+
+    if not shape.size or errors([params])[0] is None:
+        return params
+    return least_squares(errors, params, rounds, LIKELIHOOD_GAIN / len(w), AT_ONCE)[0]
+
+
+def group_function(shape: Shape, steps: int, enforce: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         started = time.perf_counter()
         rows = rows.sort_values("date")
@@ -171,17 +197,20 @@ def group_function(shape: Shape, steps: int):
         differencing = shape.differencing()
         w = np.convolve(y, differencing)[len(differencing) - 1 : n] if n >= len(differencing) else np.zeros(0)
         mean = w.mean() if len(w) and len(differencing) == 1 else 0.0
-        order = shape.p + shape.P * shape.s
+        order = max(shape.p + shape.P * shape.s, 0 if enforce else shape.q + shape.Q * shape.s + 1)
         if len(w) - order >= 3 * (shape.size + 1) and np.ptp(w) > 0:
             w = w - mean
-            found, e = minimise(w, shape, start_values(w, shape))
+            found, _ = minimise(w, shape, start_values(w, shape))
+            found = maximise(w, shape, found, enforce)
+            ar, ma = shape.polynomials(found)
+            filtered = kalman_filter(w, [(ar, ma)], diffuse=not enforce)
+            loglik, sigma2 = log_likelihood(filtered)
+            e = filtered.errors[0, filtered.burn :]
             count = len(e)
-            sigma2 = float(e @ e) / count
-            loglik = -count / 2 * (math.log(2 * math.pi * max(sigma2, 1e-300)) + 1)
             free = shape.size + 1 + (len(differencing) == 1)
-            ar, ma = shape.polynomials(found)
             fitted[n - count :] = y[n - count :] - e
-            centre, half = project(y - mean, e, np.convolve(ar, differencing), ma, sigma2, steps)
+            centre, deviation = prediction(y - mean, filtered, ar, ma, differencing, sigma2, steps)
+            half = Z95 * deviation
             ahead = np.vstack([centre + mean, centre + mean - half, centre + mean + half])
             params = [float(v) for v in found]
             ends = {
@@ -211,17 +240,54 @@ def model_series(
     order: tuple = PLAIN,
     seasonal: tuple = (0, 0, 0, 0),
     steps: int = 7,
+    enforce: bool = True,
 ) -> DataFrame:
-    """Fit every series once; rows hold fitted values for its days and forecasts for the days after."""
+    """Fit every series once; rows hold fitted values for its days and forecasts for the days after.
+
+    With ``enforce`` the model stays stationary and invertible and starts from its stationary distribution; without
+    it the filter starts diffuse, and its first days (one per state) have no fitted value.
+    """
     if not 1 <= steps <= 30:
         raise ValueError("steps must be within 1..30")
     present = series.select("series_key", "date", F.col(value).cast("double").alias("x")).where("x is not null")
     spread = in_groups(present, "series_key")
-    return spread.groupBy("series_key").applyInPandas(group_function(Shape(order, seasonal), steps), SCHEMA)
+    return spread.groupBy("series_key").applyInPandas(group_function(Shape(order, seasonal), steps, enforce), SCHEMA)
+
+
+def filtered_errors(
+    series: DataFrame,
+    params: list[float],
+    value: str = "daily_amount",
+    order: tuple = PLAIN,
+    seasonal: tuple = (0, 0, 0, 0),
+    enforce: bool = True,
+) -> DataFrame:
+    """(series_key, date, error, variance) of the one-step predictions at given parameters, nothing fitted.
+
+    Days lost to differencing have no row; null values are left out, as in ``model_series``.
+    """
+    shape = Shape(order, seasonal)
+    differencing = shape.differencing()
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        y, lost = rows["x"].to_numpy(float), len(differencing) - 1
+        if len(y) <= lost:
+            return pd.DataFrame({"series_key": [], "date": [], "error": [], "variance": []})
+        w = np.convolve(y, differencing)[lost : len(y)]
+        found = kalman_filter(w, [shape.polynomials(np.asarray(params, float))], diffuse=not enforce)
+        return pd.DataFrame(
+            {"series_key": key[0], "date": rows["date"].to_numpy()[lost:], "error": found.errors[0], "variance": found.variances[0]}
+        )
+
+    present = series.select("series_key", "date", F.col(value).cast("double").alias("x")).where("x is not null")
+    schema = "series_key string, date date, error double, variance double"
+    return in_groups(present, "series_key").groupBy("series_key").applyInPandas(run, schema)
 
 
 def sarima_series(series: DataFrame, value: str = "daily_amount", steps: int = 7) -> DataFrame:
-    return model_series(series, value, PLAIN, SEASONAL, steps)
+    """The weekly model, neither stationary nor invertible by force."""
+    return model_series(series, value, PLAIN, SEASONAL, steps, enforce=False)
 
 
 def fit_report(modelled: DataFrame) -> DataFrame:

@@ -186,6 +186,27 @@ def arima_fit(spark, folder):
     return arima.fit_report(arima.model_series(cleaned_series(spark, folder))).drop("train_time")
 
 
+PHI, THETA = 0.4, -0.7  # given parameters of the filter that is compared with SQL
+
+
+@query(
+    "arima_filter",
+    f"""with recursive {DAILY}, steps as (select series_key, date, row_number() over (partition by series_key order by date) i,
+      daily_amount - lag(daily_amount) over (partition by series_key order by date) w from daily),
+    filtered as (select series_key, date, i, w error, (1 + {THETA * THETA}::double + 2 * {PHI * THETA}::double) / (1 - {PHI * PHI}::double) variance,
+      0::double mean from steps where i = 2
+      union all select s.series_key, s.date, s.i, s.w - m.mean, m.variance, m.mean from (
+        select series_key, i, {PHI}::double * mean + ({PHI}::double * variance + {THETA}::double) / variance * error mean,
+          {PHI * PHI}::double * variance + 2 * {PHI * THETA}::double + {THETA * THETA}::double
+          - ({PHI}::double * variance + {THETA}::double) ** 2 / variance + 1 variance from filtered) m
+        join steps s on s.series_key = m.series_key and s.i = m.i + 1)
+    select series_key, cast(date as varchar) date, {r("error", 2)} error, {r("variance", 5)} variance from filtered""",
+)
+def arima_filter(spark, folder):
+    """One-step errors and variances of the exact filter at given parameters."""
+    return round_doubles(dated(arima.filtered_errors(daily(spark, folder), [PHI, THETA])), 2, variance=5)
+
+
 @query("sarima_fit")
 def sarima_fit(spark, folder):
     return arima.fit_report(arima.sarima_series(cleaned_series(spark, folder))).drop("train_time")

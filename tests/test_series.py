@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordersight.operators.series import daily_rollup
-from ordersight.models import arima, unit_root
+from ordersight.models import arima, statespace, unit_root
 from ordersight.operators import series as T
 
 
@@ -185,3 +185,78 @@ def test_null_series_key_keeps_its_values(spark):
     assert sorted((r.series_key or "", str(r.date), r.daily_amount) for r in got) == [
         ("", "2024-01-01", 7.0), ("", "2024-01-02", 0.0), ("", "2024-01-03", 9.0), ("a", "2024-01-01", 1.0),
     ]
+
+
+def dense_errors(w, ar, ma, start):
+    """Standardised errors and log variances from the full covariance matrix."""
+    step, load = statespace.matrices(ar, ma)
+    n = len(w)
+    spreads, c = [start], np.zeros((n, n))
+    for _ in range(n):
+        spreads.append(step @ spreads[-1] @ step.T + np.outer(load, load))
+    for s in range(n):
+        m = spreads[s].copy()
+        for t in range(s, n):
+            c[s, t] = c[t, s] = m[0, 0]
+            m = step @ m
+    root = np.linalg.cholesky(c)
+    return np.linalg.solve(root, w), 2 * np.log(np.diag(root))
+
+
+@pytest.mark.parametrize("params, diffuse", [
+    ((0.6, 0.3, 0.2, -0.5), False), ((0.6, 0.3, 0.2, -0.5), True), ((1.05, 0.3, 0.4, -0.6), True), ((0.5, 1.6, 0.1, 0.3), True),
+])
+def test_filter_equals_the_dense_likelihood(params, diffuse):
+    """Also outside the stationary and the invertible region."""
+    w = arma(60, 0.6, 0.3, 1)
+    ar, ma = arima.Shape((1, 0, 1), (1, 0, 1, 4)).polynomials(np.array(params))
+    step, load = statespace.matrices(ar, ma)
+    start = np.eye(len(load)) * statespace.DIFFUSE if diffuse else statespace.stationary_spread(step, load)
+    other = (ar * 0.5 + np.eye(len(ar))[0] * 0.5, ma)
+    got = statespace.kalman_filter(w, [(ar, ma), other], diffuse)
+    errors, logs = dense_errors(w, ar, ma, start)
+    np.testing.assert_allclose(got.errors[0] / np.sqrt(got.variances[0]), errors, atol=1e-5)
+    np.testing.assert_allclose(np.log(got.variances[0]), logs, atol=1e-5)
+
+
+def test_exact_likelihood_is_not_beaten_by_a_grid():
+    shape = arima.Shape((1, 0, 1), (0, 0, 0, 0))
+    w = arma(300, 0.6, 0.3, 5)
+    fit = lambda x: statespace.log_likelihood(statespace.kalman_filter(w, [shape.polynomials(np.array(x))], False))[0]
+    found = arima.maximise(w, shape, arima.minimise(w, shape, np.zeros(2))[0], True)
+    assert fit(found) >= max(fit((a, b)) for a in np.arange(-0.9, 0.95, 0.1) for b in np.arange(-0.9, 0.95, 0.1))
+
+
+def test_unforced_fit_leaves_the_stationary_region(spark):
+    """A growing series needs a root inside the unit circle; forced fits stop at the border."""
+    e, x = np.random.default_rng(3).normal(size=300), np.zeros(300)
+    for t in range(1, 300):
+        x[t] = 1.02 * x[t - 1] + e[t]
+    rows = frame(spark, {"grows": x})
+    free, forced = (
+        arima.fit_report(arima.model_series(rows, order=(1, 0, 0), enforce=enforce)).first().params[0] for enforce in (False, True)
+    )
+    assert free == pytest.approx(1.02, abs=0.002) and forced < 1
+    ahead = arima.forecasts(arima.model_series(rows, order=(1, 0, 0), enforce=False)).orderBy("date").collect()
+    assert all(b.upper - b.lower > 1.01 * (a.upper - a.lower) for a, b in zip(ahead, ahead[1:]))
+
+
+def test_forecast_interval_matches_simulation():
+    """Spread of simulated futures of an integrated seasonal process."""
+    shape = arima.Shape((1, 1, 1), (0, 1, 1, 4))
+    differencing = shape.differencing()
+    ar, ma = shape.polynomials(np.array([0.5, 0.2, -0.4]))
+    rng, steps = np.random.default_rng(0), 8
+    y = np.cumsum(rng.normal(size=80))
+    w = np.convolve(y, differencing)[len(differencing) - 1 : len(y)]
+    found = statespace.kalman_filter(w, [(ar, ma)], True)
+    mean, deviation = statespace.prediction(y, found, ar, ma, differencing, 1.0, steps)
+    step, load = statespace.matrices(ar, ma)
+    state = rng.multivariate_normal(found.state[0], found.spread[0], size=20_000)
+    paths = np.repeat(y[None], len(state), axis=0)
+    for _ in range(steps):
+        back = sum(differencing[i] * paths[:, -i] for i in range(1, len(differencing)))
+        paths = np.hstack([paths, (state[:, 0] - back)[:, None]])
+        state = state @ step.T + rng.normal(size=(len(state), 1)) * load
+    np.testing.assert_allclose(paths[:, -steps:].mean(axis=0), mean, atol=0.05 * deviation.max())
+    np.testing.assert_allclose(paths[:, -steps:].std(axis=0), deviation, rtol=0.03)
