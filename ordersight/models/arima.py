@@ -167,7 +167,7 @@ def admissible(shape: Shape, params: np.ndarray) -> bool:
     return all(outside_unit_circle(p) for p in shape.polynomials(params))
 
 
-def maximise(w: np.ndarray, shape: Shape, params: np.ndarray, enforce: bool, rounds: int = 40) -> np.ndarray:
+def maximise(w: np.ndarray, shape: Shape, params: np.ndarray, enforce: bool, rounds: int = 15) -> np.ndarray:
     """Parameters of the largest exact likelihood near ``params``; ``enforce`` keeps them admissible."""
 
     def errors(several: list[np.ndarray]) -> list[np.ndarray | None]:

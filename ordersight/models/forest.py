@@ -8,6 +8,7 @@ is bounded by its parameters (trees x 2 x samples nodes), which is what makes it
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordersight.models.features import score_usable
 from ordersight.operators.scores import minmax_score
 from ordersight.session import cut, in_groups
 
@@ -27,7 +29,7 @@ HASH_RANGE = 2**52
 OVERSAMPLE = 2.0
 MAX_NODES = 4_000_000
 TREES_PER_TASK = 8
-NODE_SCHEMA = "cell int, tree int, node int, feature int, threshold double, left int, right int, depth double"
+NODE_SCHEMA = "cell int, tree int, node int, feature int, threshold double, left int, right int, depth double, seconds double"
 
 
 def path_length(n: float) -> float:
@@ -97,7 +99,7 @@ def build_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 
 def tree_builder(columns: list[str], seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cell, tree = int(key[0]), int(key[1])
+        cell, tree, started = int(key[0]), int(key[1]), time.perf_counter()
         x = rows.sort_values("_rank")[columns].to_numpy(float)
         limit = math.ceil(math.log2(max(len(x), 2)))
         nodes = build_tree(x, np.random.default_rng([seed, cell, tree]), limit)
@@ -105,6 +107,8 @@ def tree_builder(columns: list[str], seed: int):
         out.insert(0, "node", np.arange(len(out)))
         out.insert(0, "tree", tree)
         out.insert(0, "cell", cell)
+        out["seconds"] = 0.0
+        out.loc[0, "seconds"] = time.perf_counter() - started
         return out
 
     return run
@@ -117,7 +121,7 @@ def fit_forest(
     cells: list[tuple[int, int]] = ((TREES, SAMPLES),),
     seed: int = SEED,
 ) -> DataFrame:
-    """Node table of one forest per cell of (trees, samples)."""
+    """Node table of one forest per cell of (trees, samples); the first node of a tree holds its build time."""
     nodes = sum(2 * trees * samples for trees, samples in cells)
     if nodes > MAX_NODES:
         raise ValueError(f"{nodes} nodes exceed the {MAX_NODES} a forest may broadcast")
@@ -180,9 +184,13 @@ def isolation_forest(
     samples: int = SAMPLES,
     seed: int = SEED,
 ) -> DataFrame:
-    """Every row with its min-max scaled isolation score."""
+    """Every row with its min-max scaled isolation score; null for a row with a null, NaN or infinite feature."""
     cells = [(trees, samples)]
-    raw = forest_raw_scores(features, fit_forest(features, columns, key, cells, seed), columns, cells)
-    # written once, because the min-max scaling reads the scores twice
-    written = cut(raw.withColumn("_raw", F.col("raw")[0]).drop("raw"))
-    return minmax_score(written, "_raw").drop("_raw")
+
+    def score(rows: DataFrame) -> DataFrame:
+        raw = forest_raw_scores(rows, fit_forest(rows, columns, key, cells, seed), columns, cells)
+        # written once, because the min-max scaling reads the scores twice
+        written = cut(raw.withColumn("_raw", F.col("raw")[0]).drop("raw"))
+        return minmax_score(written, "_raw").drop("_raw")
+
+    return score_usable(features, columns, score)

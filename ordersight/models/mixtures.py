@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.models.features import scaler_stages
+from ordersight.models.features import scaler_stages, score_usable, usable
 from ordersight.operators.scores import minmax_score
 from ordersight.schemas import FEATURES
 
@@ -19,14 +19,14 @@ from ordersight.schemas import FEATURES
 def fit_kmeans(features: DataFrame, k: int = 2, seed: int = 42, rounds: int = 20) -> PipelineModel:
     """Scaler and K-means in one pipeline, so both are saved together."""
     kmeans = KMeans(featuresCol="features", predictionCol="prediction", k=k, seed=seed, maxIter=rounds)
-    return Pipeline(stages=[*scaler_stages(list(FEATURES)), kmeans]).fit(features)
+    return Pipeline(stages=[*scaler_stages(list(FEATURES)), kmeans]).fit(features.where(usable(list(FEATURES))))
 
 
 def fit_gmm(features: DataFrame, k: int = 2, seed: int = 42, rounds: int = 20) -> PipelineModel:
     mixture = GaussianMixture(
         featuresCol="features", predictionCol="prediction", probabilityCol="probability", k=k, seed=seed, maxIter=rounds
     )
-    return Pipeline(stages=[*scaler_stages(list(FEATURES)), mixture]).fit(features)
+    return Pipeline(stages=[*scaler_stages(list(FEATURES)), mixture]).fit(features.where(usable(list(FEATURES))))
 
 
 def centre_distance(centres: list, features: Column) -> Column:
@@ -54,12 +54,19 @@ def kmeans_distance(features: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def kmeans_score(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """Min-max scaled distance to the nearest centre."""
-    return minmax_score(kmeans_distance(features, model), "distance")
+    """Min-max scaled distance to the nearest centre; null for rows without usable features."""
+    return score_usable(features, list(FEATURES), lambda rows: minmax_score(kmeans_distance(rows, model), "distance"))
 
 
 def gmm_score(features: DataFrame, model: PipelineModel, density: bool = False) -> DataFrame:
-    """1 - largest posterior; with ``density`` the min-max scaled negative log density instead."""
+    """1 - largest posterior; with ``density`` the min-max scaled negative log density instead.
+
+    Null for rows without usable features.
+    """
+    return score_usable(features, list(FEATURES), lambda rows: usable_gmm_score(rows, model, density))
+
+
+def usable_gmm_score(features: DataFrame, model: PipelineModel, density: bool) -> DataFrame:
     if not density:
         posterior = F.array_max(vector_to_array("probability"))
         return (

@@ -18,9 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.models.features import score_usable
 from ordersight.operators.scores import minmax_score
 from ordersight.session import cut, cut_for_passes
 
@@ -29,6 +32,7 @@ FOURIER_FEATURES = 256
 ROUNDS = 200  # passes after which a fit that has not converged is an error
 BINS = 4096
 SAMPLE_ROWS = 20_000
+SUM_GROUPS = 64  # the vectors of the tasks are summed in so many groups, then these sums
 SUGGESTIONS = 24
 # Shares of nu at which the sample places the borders around the wanted share; the last shell is open.
 SHELLS = (0.7, 0.9, 1.0, 1.1, 1.3, 2.0)
@@ -107,11 +111,13 @@ def low_tail_means(
                 for k in range(shells - 1):
                     total[j, k] += z[shell == k].sum(axis=0)
                 total[j, shells - 1] += z.sum(axis=0) - z[shell < shells - 1].sum(axis=0)
-        yield pd.DataFrame({"i": np.arange(total.size, dtype=np.int32), "v": total.ravel()})
+        yield pd.DataFrame({"v": [total.ravel()]})
 
-    summed = features.select(*columns).mapInPandas(add_up, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    table = summed.toPandas().sort_values("i")  # directions x shells x Fourier features
-    sums = table["v"].to_numpy().reshape(count, shells, width + 1)
+    # one vector per task, of directions x shells x Fourier features entries
+    per_task = features.select(*columns).mapInPandas(add_up, "v array<double>")
+    grouped = per_task.select(array_to_vector("v").alias("v"), (F.spark_partition_id() % SUM_GROUPS).alias("g"))
+    summed = grouped.groupBy("g").agg(Summarizer.sum(F.col("v")).alias("v")).agg(Summarizer.sum(F.col("v")).alias("v"))
+    sums = summed.first()["v"].toArray().reshape(count, shells, width + 1)
     mass = np.rint(sums[:, :, -1])
     wanted = nu * mass[0].sum()
     before = np.cumsum(mass, axis=1) - mass
@@ -195,8 +201,17 @@ def one_class_decision(features: DataFrame, model: OneClassModel, columns: list[
 
 
 def one_class_svm(features: DataFrame, columns: list[str], nu: float = NU, seed: int = 42, **options) -> DataFrame:
-    """Every row with its decision value and the min-max scaled anomaly score."""
-    table = cut_for_passes(features)
-    model = fit_one_class(table, columns, nu, seed=seed, **options)
-    decided = cut(one_class_decision(table, model, columns))  # read twice by the min-max scaling
-    return minmax_score(decided.withColumn("_raw", -F.col("decision")), "_raw").drop("_raw")
+    """Every row with its decision value and the min-max scaled anomaly score.
+
+    Both are null for a row with a null, NaN or infinite feature; such rows take no part in the fit.
+    """
+
+    def score(rows: DataFrame) -> DataFrame:
+        table = cut_for_passes(rows)
+        if table.isEmpty():
+            return table.withColumns({"decision": F.lit(None).cast("double"), "anomaly_score": F.lit(None).cast("double")})
+        model = fit_one_class(table, columns, nu, seed=seed, **options)
+        decided = cut(one_class_decision(table, model, columns))  # read twice by the min-max scaling
+        return minmax_score(decided.withColumn("_raw", -F.col("decision")), "_raw").drop("_raw")
+
+    return score_usable(features, columns, score)

@@ -131,6 +131,22 @@ def label_metrics(
     )
 
 
+def flag_metrics(
+    scored: DataFrame, threshold: float = 0.8, score: str = "anomaly_score", label: str = "is_cheat", by: list[str] | None = None
+) -> DataFrame:
+    """Precision, recall and F1 of ``label_metrics`` alone: one aggregation, no ranks."""
+    hit, true = F.coalesce(F.col(score) >= float(threshold), F.lit(False)), F.coalesce(F.col(label) == 1, F.lit(False))
+    counts = scored.groupBy(*(by or [])).agg(
+        F.count_if(true).alias("positives"), F.count_if(hit).alias("flagged"), F.count_if(hit & true).alias("true_positives")
+    )
+    return counts.select(
+        "*",
+        ratio(F.col("true_positives"), F.col("flagged")).alias("precision"),
+        ratio(F.col("true_positives"), F.col("positives")).alias("recall"),
+        ratio(2.0 * F.col("true_positives"), F.col("flagged") + F.col("positives")).alias("f1"),
+    )
+
+
 def clamp(value: Column, low: float = 0.5, high: float = 0.99) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 

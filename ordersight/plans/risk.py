@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordersight.functions.features import with_rule_score
+from ordersight.functions.features import rule_score, with_features, with_rule_score
 from ordersight.functions.rounding import round_doubles
 from ordersight.operators import ranking as K
 from ordersight.operators import risk as R
 from ordersight.operators import scores as S
-from ordersight.plans.ranking import SCORED_FEATURES, importance_rows, scored_features, top_sql
+from ordersight.operators.quality import clean
+from ordersight.plans.ranking import SCORED_FEATURES, importance_rows, top_sql
 from ordersight.plans.registry import query
-from ordersight.plans.views import CLEAN, NORM, RULE, cleaned, norm_scored, r, rule_scored
+from ordersight.plans.views import CLEAN, GAP_LT, NORM, RULE, cleaned, norm_scored, r, rule_scored
 from ordersight.schemas import FEATURES
 from ordersight.session import cut
 from ordersight.sources.tables import transactions
@@ -140,14 +141,12 @@ RULE_ONLY = RULE[len(CLEAN) :].lstrip(",\n")
 RIVALS = {"narrow": (20.0, 2000.0), "wide": (60.0, 40000.0), "gap_only": (0.0, 40000.0)}
 
 
-def rival_metrics(spark, folder):
+def rival_metrics(rows):
     """(model, f1, train_time) of three rule settings; the time column is a stand-in, the row count."""
-    rows = cut(cleaned(spark, folder))
-    parts = []
-    for name, (amount_lt, gap_lt) in RIVALS.items():
-        metrics = S.label_metrics(with_rule_score(rows, amount_lt, gap_lt), 0.5)
-        parts.append(metrics.select(F.lit(name).alias("model"), "f1", F.col("flagged").cast("double").alias("train_time")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    score = lambda limits: rule_score(F.col("amount"), F.col("time_diff"), F.col("order_time"), *limits)
+    each = F.array(*[F.struct(F.lit(n).alias("model"), score(limits).alias("anomaly_score")) for n, limits in RIVALS.items()])
+    metrics = S.flag_metrics(rows.select("is_cheat", F.inline(each)), 0.5, by=["model"])
+    return metrics.select("model", "f1", F.col("flagged").cast("double").alias("train_time"))
 
 
 def rival_sql() -> str:
@@ -171,7 +170,7 @@ def rival_sql() -> str:
     f"with {RULE}, {rival_sql()} select best_model, {r('best_f1')} best_f1, fastest, slowest, {r('speed_ratio', 4)} speed_ratio from best",
 )
 def best_model(spark, folder):
-    return round_doubles(S.best_model(rival_metrics(spark, folder)), 6, speed_ratio=4)
+    return round_doubles(S.best_model(rival_metrics(cleaned(spark, folder))), 6, speed_ratio=4)
 
 
 @query(
@@ -187,9 +186,12 @@ def best_model(spark, folder):
     select cast(i as integer) as rank, actions[i] as action from fired, range(1, 5) t(i) where i <= len(actions)""",
 )
 def recommended_actions(spark, folder):
-    overview = R.risk_overview(transactions(spark, folder), rule_scored(spark, folder), 0.5)
-    ranked = K.rank_features(S.feature_importance(scored_features(spark, folder), list(FEATURES)).select("feature", "importance"))
-    return R.recommended_actions(overview, ranked, S.best_model(rival_metrics(spark, folder)))
+    tx = cut(transactions(spark, folder))  # the gaps are taken once for everything below
+    rows = clean(tx)
+    overview = R.risk_overview(tx, with_rule_score(rows, gap_lt=GAP_LT), 0.5)
+    importance = S.feature_importance(with_features(S.maxnorm_score(rows)), list(FEATURES))
+    ranked = K.rank_features(importance.select("feature", "importance"))
+    return R.recommended_actions(overview, ranked, S.best_model(rival_metrics(rows)))
 
 
 @query(
@@ -198,5 +200,7 @@ def recommended_actions(spark, folder):
     {r("best_f1")} best_f1 from overview cross join best""",
 )
 def risk_summary(spark, folder):
-    overview = R.risk_overview(transactions(spark, folder), rule_scored(spark, folder), 0.5)
-    return round_doubles(R.risk_summary(overview, S.best_model(rival_metrics(spark, folder))))
+    tx = cut(transactions(spark, folder))
+    rows = clean(tx)
+    overview = R.risk_overview(tx, with_rule_score(rows, gap_lt=GAP_LT), 0.5)
+    return round_doubles(R.risk_summary(overview, S.best_model(rival_metrics(rows))))

@@ -168,7 +168,7 @@ def test_scaler_is_separable(spark, points):
 
 
 def test_grid_search(spark, points):
-    run = lambda: search.forest_grid_search(points, COLUMNS, trees=(10, 20), samples=(32, 64)).drop("fit_time_all_cells")
+    run = lambda: search.forest_grid_search(points, COLUMNS, trees=(10, 20), samples=(32, 64)).drop("fit_seconds")
     got = sorted(map(str, run().collect()))
     assert len(got) == 4 and got == sorted(map(str, run().collect()))
     assert run().agg(F.min("label_auc")).first()[0] > 0.95
@@ -178,3 +178,50 @@ def test_one_class_svm_raises_when_it_has_not_converged(spark):
     rows = [(float(x), float(y)) for x, y in np.random.default_rng(8).normal(size=(500, 2))]
     with pytest.raises(RuntimeError, match="duality gap"):
         ocsvm.fit_one_class(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], rounds=1, tolerance=-1.0)
+
+
+@pytest.mark.parametrize("model", ["lof", "svm", "forest", "kmeans", "gmm"])
+def test_rows_without_usable_features_stay_without_a_score(spark, model):
+    """Null, NaN and infinite features: as many rows out as in, and the other scores do not change."""
+    pdf = cloud(300)
+    bad = pd.DataFrame({c: [0.1] * 3 for c in COLUMNS}).assign(order_id=["X0", "X1", "X2"], is_cheat=0)
+    bad[COLUMNS[0]] = [float("nan"), float("inf"), 0.1]
+    rows = spark.createDataFrame(pd.concat([pdf, bad], ignore_index=True))
+    rows = cut(rows.withColumn(COLUMNS[1], F.when(F.col("order_id") != "X2", F.col(COLUMNS[1]))))
+    run = {
+        "lof": lambda df: lof.local_outlier_factor(df, COLUMNS),
+        "svm": lambda df: ocsvm.one_class_svm(df, COLUMNS, fourier_features=64),
+        "forest": lambda df: forest.isolation_forest(df, COLUMNS, trees=10),
+        "kmeans": lambda df: mixtures.kmeans_score(df, mixtures.fit_kmeans(df)),
+        "gmm": lambda df: mixtures.gmm_score(df, mixtures.fit_gmm(df), density=True),
+    }[model]
+    got = {r.order_id: r.anomaly_score for r in run(rows).collect()}
+    assert len(got) == len(pdf) + 3 and [got[k] for k in ("X0", "X1", "X2")] == [None] * 3
+    clean = {r.order_id: r.anomaly_score for r in run(rows.where("order_id not like 'X%'")).collect()}
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in clean.items())
+
+
+def test_lof_and_svm_without_a_usable_row(spark):
+    rows = spark.createDataFrame([("a", None)], "order_id string, v double").select("order_id", *[F.col("v").alias(c) for c in COLUMNS])
+    assert lof.local_outlier_factor(rows, COLUMNS).first().lof is None
+    assert ocsvm.one_class_svm(rows, COLUMNS).first().decision is None
+
+
+def test_low_tail_means_do_not_depend_on_the_partitions(spark, points):
+    """The sums of the tasks meet in two steps, whatever the number of tasks."""
+    rng = np.random.default_rng(1)
+    projection, directions = rng.normal(size=(4, 16)), rng.normal(size=(32, 3))
+    x = points.select(*COLUMNS).toPandas().to_numpy()
+    z = ocsvm.fourier(x, projection)
+    borders = ocsvm.shell_borders(z @ directions, 0.3)
+    expected = [z[np.argsort(z @ d)[: round(0.3 * len(z))]].mean(axis=0) for d in directions.T]
+    for tasks in (1, 150):
+        got = ocsvm.low_tail_means(points.repartition(tasks), COLUMNS, projection, directions, borders, 0.3)
+        np.testing.assert_allclose(got, expected, atol=0.01)
+
+
+def test_grid_search_measures_every_cell(spark, points):
+    """Trees x samples set the task time of a cell; labels cut from the score are ranked perfectly."""
+    got = {(r.n_estimators, r.max_samples): r for r in search.forest_grid_search(points, COLUMNS, trees=(5, 60), samples=(32, 256)).collect()}
+    assert got[60, 256].fit_seconds > got[5, 32].fit_seconds > 0
+    assert {r.pseudo_auc for r in got.values()} <= {0.5, 1.0}
