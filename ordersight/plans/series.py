@@ -9,7 +9,7 @@ from ordersight.models import arima, unit_root
 from ordersight.operators import series as T
 from ordersight.plans.ranking import FILLED
 from ordersight.plans.registry import query
-from ordersight.plans.views import DAILY, DAILY_ROWS, TX, daily, daily_tx, r
+from ordersight.plans.views import DAILY, DAILY_BY_NATION, DAILY_ROWS, TX, daily, daily_by_nation, daily_tx, r
 from ordersight.session import cut
 
 
@@ -177,6 +177,28 @@ def series_summary(spark, folder):
     return round_doubles(summary, 4, total_amount=2, min_amount=2, max_amount=2)
 
 
+@query(
+    "many_series_summary",
+    f"""with {DAILY_BY_NATION} select series_key, count(*) "days", {r("sum(daily_amount)", 2)} total_amount,
+    {r("stddev_samp(daily_amount)", 4)} std_amount, {r("max(daily_amount)", 2)} max_amount, {r("avg(daily_count)", 4)} avg_count,
+    cast(min(date) as varchar) first_day, cast(max(date) as varchar) last_day from daily group by 1""",
+)
+def many_series_summary(spark, folder):
+    """One row per nation and priority."""
+    columns = ("series_key", "days", "total_amount", "std_amount", "max_amount", "avg_count", "first_day", "last_day")
+    summary = dated(T.series_summary(daily_by_nation(spark, folder)), "first_day", "last_day").select(*columns)
+    return round_doubles(summary, 4, total_amount=2, max_amount=2)
+
+
+@query(
+    "many_series_accuracy",
+    f"with {DAILY_BY_NATION}, {naive_cte(7, 'naive')} {ACCURACY.format(keys='series_key', source='naive')}",
+)
+def many_series_accuracy(spark, folder):
+    """Accuracy of last week's value, series by series."""
+    return T.forecast_accuracy(T.seasonal_naive(daily_by_nation(spark, folder)), ["series_key"])
+
+
 def cleaned_series(spark, folder):
     return T.series_clean(daily(spark, folder))
 

@@ -139,7 +139,7 @@ def stream_ml_score(spark, folder):
     return round_doubles(run(scored, "ml").select("order_id", "anomaly_score", "is_anomaly"))
 
 
-@query("stream_mode_select")
+@query("stream_mode_select", f"with {RULE_STREAM} select 'rule' as mode, is_anomaly, count(*) n from scored group by 2")
 def stream_mode_select(spark, folder):
     """Counts of a run whose mode was left open and for which no model exists: rules are chosen."""
     mode, model = detect.select_mode(spark, "auto", fresh_dir(spark, "no-model"))

@@ -39,6 +39,14 @@ def daily(spark: SparkSession, folder: str, empty: str = "zero") -> DataFrame:
     )
 
 
+def daily_by_nation(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily series of order totals per customer nation and priority: many series side by side."""
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    orders = table(spark, folder, "orders").join(customers, "o_custkey")
+    key = F.concat_ws("|", F.col("c_nationkey").cast("string"), "o_orderpriority")
+    return daily_rollup(orders, key, F.col("o_orderdate"), F.col("o_totalprice"))
+
+
 def daily_tx(spark: SparkSession, folder: str) -> DataFrame:
     """Daily series of transactions per device."""
     return daily_rollup(
@@ -111,6 +119,10 @@ daily as (
   select series_key, date, coalesce(daily_amount, 0) daily_amount, coalesce(daily_count, 0) daily_count,
          coalesce(avg_price, 0) avg_price, coalesce(rush_ratio, 0) rush_ratio from sparse)"""
 
+DAILY_BY_NATION = DAILY.replace("o_orderpriority series_key", "c_nationkey || '|' || o_orderpriority series_key").replace(
+    "from orders group by all", "from orders join customer on o_custkey = c_custkey group by all"
+)
+
 
 def r(expression: str, places: int = 6) -> str:
     """SQL of the rounding rule: half up after a tiny offset."""

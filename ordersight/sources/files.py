@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,10 @@ def scan_jdbc(
     return reader.load().select(*columns)
 
 
+# a missing or unreadable source; mistakes in a loader's own code are not among them
+LOAD_PROBLEMS = (PySparkException, Py4JError, OSError, ValueError)
+
+
 def load_first_available(loaders: Iterable[Callable[[], DataFrame]]) -> DataFrame:
     """First source that loads and has a row; raises when none does."""
     problems = []
@@ -51,7 +57,7 @@ def load_first_available(loaders: Iterable[Callable[[], DataFrame]]) -> DataFram
             if not df.isEmpty():
                 return df
             problems.append(ValueError("source is empty"))
-        except Exception as problem:  # a source that fails is skipped, and reported if all fail
+        except LOAD_PROBLEMS as problem:  # a source that fails to load is skipped, and reported if all fail
             problems.append(problem)
     raise ExceptionGroup("no source has data", problems or [ValueError("no sources given")])
 
