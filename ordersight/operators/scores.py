@@ -134,9 +134,9 @@ def label_metrics(
 def flag_metrics(
     scored: DataFrame, threshold: float = 0.8, score: str = "anomaly_score", label: str = "is_cheat", by: list[str] | None = None
 ) -> DataFrame:
-    """Precision, recall and F1 of ``label_metrics`` alone: one aggregation, no ranks."""
-    hit, true = F.coalesce(F.col(score) >= float(threshold), F.lit(False)), F.coalesce(F.col(label) == 1, F.lit(False))
-    counts = scored.groupBy(*(by or [])).agg(
+    """Precision, recall and F1 of ``label_metrics`` alone: one aggregation, no ranks. Rows without a score are left out."""
+    hit, true = F.col(score) >= float(threshold), F.coalesce(F.col(label) == 1, F.lit(False))
+    counts = scored.where(F.col(score).isNotNull()).groupBy(*(by or [])).agg(
         F.count_if(true).alias("positives"), F.count_if(hit).alias("flagged"), F.count_if(hit & true).alias("true_positives")
     )
     return counts.select(

@@ -72,6 +72,8 @@ def test_fallback_order(spark, tx):
     assert files.load_first_available([missing, empty, lambda: tx]).count() == 5
     with pytest.raises(ExceptionGroup):
         files.load_first_available([missing, empty])
+    with pytest.raises(ZeroDivisionError):  # a mistake in a loader is not a missing source
+        files.load_first_available([lambda: 1 / 0, lambda: tx])
 
 
 def test_views(spark, tx):
@@ -191,3 +193,14 @@ def test_vector_correlation(spark):
     assert A.vector_correlation(df.where("false"), F.col("v"), names).collect() == []
     with pytest.raises(ValueError, match="names"):
         A.vector_correlation(df, F.col("v"), ["a"])
+
+
+def test_flag_metrics_agree_with_label_metrics(spark):
+    """Rows without a score are left out; a group without a flagged row has zeros, not nulls."""
+    rows = spark.createDataFrame(
+        [("a", 0.9, 1), ("a", 0.85, 0), ("a", 0.1, 1), ("a", None, 1), ("b", 0.2, 0), ("b", 0.3, 1)],
+        "model string, anomaly_score double, is_cheat int",
+    )
+    columns = ["model", "positives", "flagged", "true_positives", "precision", "recall", "f1"]
+    one, other = (m(rows, 0.8, by=["model"]).select(columns).orderBy("model").collect() for m in (S.flag_metrics, S.label_metrics))
+    assert one == other and one[1].f1 == 0.0 and one[0].positives == 2
