@@ -177,3 +177,33 @@ def test_live_statistics_follow_the_gap_rule(spark):
     first = rows["2024-01-01 14:00:00"]
     assert first.total_count == 2 and first.max_anomaly_score - first.min_anomaly_score == pytest.approx(0.3)
     assert rows["2024-01-02 16:00:00"].total_count == 1
+
+
+def test_many_users_share_few_python_calls(spark):
+    """Users of a slot keep their own gaps over batches, and calls do not grow with the users."""
+    from ordersight.streaming.gaps import stream_gap_state
+
+    layout = "user_id long, event_id long, ts timestamp, amount double"
+    source, checkpoint = fresh_dir(spark, "source"), fresh_dir(spark, "checkpoint")
+    big = 2**53 + 1
+    found, groups = {}, set()
+    for batch in range(2):
+        rows = [(u, big + 2 * u + batch, START + dt.timedelta(seconds=100 * batch + u * batch), 1.0) for u in range(60)]
+        # a missing id among the rows must not round the ids beside it
+        rows += [(None, 5 + batch, START + dt.timedelta(seconds=7 * batch), 1.0), (3, None, None, 1.0), (0, 1 + batch, START, 2.0)]
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(source)
+        gapped = stream_gap_state(spark.readStream.schema(layout).parquet(source), slots=2)
+
+        def keep(df, _):
+            rows = df.collect()
+            groups.add(len(rows))
+            found.update({(r.user_id, r.event_id): r.time_diff for r in rows})
+
+        writer = gapped.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+    assert groups == {63}
+    assert {u: found[u, big + 2 * u + 1] for u in range(60)} == {u: 100.0 + u for u in range(60)}
+    assert found[0, 1] is None and found[0, big] == 0.0  # equal times, by event
+    assert found[0, 2] == 0.0 and found[None, 5] is None and found[None, 6] == 7.0 and found[3, None] is None
