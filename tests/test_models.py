@@ -225,3 +225,30 @@ def test_grid_search_measures_every_cell(spark, points):
     got = {(r.n_estimators, r.max_samples): r for r in search.forest_grid_search(points, COLUMNS, trees=(5, 60), samples=(32, 256)).collect()}
     assert got[60, 256].fit_seconds > got[5, 32].fit_seconds > 0
     assert {r.pseudo_auc for r in got.values()} <= {0.5, 1.0}
+
+
+def test_lof_radii_come_from_one_window(spark):
+    """The novelty radius is taken with the k-distance, so the neighbour pairs are not ordered a second time."""
+    from ordersight.models.lof import density_factors, neighbour_pairs
+    from ordersight.session import cut
+
+    points = spark.createDataFrame([(i, float(i * i), 1 + (i == 3)) for i in range(6)], "pid long, x double, copies long")
+    pairs = cut(neighbour_pairs(points, ["x"], 2))
+    got = {r.pid: (r.k_distance, r.near_distance) for r in pairs.where("pid = other").collect()}
+    assert got[0] == (4.0, 1.0) and got[3] == (5.0, 0.0) and got[5] == (16.0, 9.0)
+    plan = density_factors(pairs, 2, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_neighbour_search_compares_few_points(monkeypatch):
+    """Radii and pairs equal brute force; far fewer distances are taken than blocks of 256 points need."""
+    import numpy as np
+
+    from ordersight.models import kdtree
+
+    x, taken, real = np.random.default_rng(3).normal(size=(2048, 2)), [], kdtree.distances
+    brute = np.sort(real(x, x), axis=1)[:, 4]
+    monkeypatch.setattr(kdtree, "distances", lambda a, b: (taken.append(len(a) * len(b)), real(a, b))[1])
+    radius = kdtree.mass_radius(x, np.full(len(x), np.inf), x, np.ones(len(x)), 5)
+    assert (radius == brute).all() and sum(taken) < 1_300_000
+    assert sum(len(a) for a, _, _ in kdtree.pairs_within(x, radius, x)) == 5 * len(x)
