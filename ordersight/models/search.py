@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ordersight.functions.rounding import tidy
 from ordersight.models.features import usable
 from ordersight.models.forest import GRID_SAMPLES, GRID_TREES, SEED, fit_forest, forest_raw_scores
-from ordersight.operators.scores import clamp, label_metrics
+from ordersight.operators.scores import clamp, label_aucs
 from ordersight.session import cut
 
 
@@ -37,20 +37,9 @@ def forest_grid_search(
         label, F.posexplode(F.array(*[score(i) for i in range(len(cells))])).alias("cell", "anomaly_score")
     )
     shape = scored.groupBy("cell").agg(F.avg("anomaly_score").alias("mean_score"))
-    # both kinds of label side by side, so that the ranks are taken once
-    judged = scored.select(
-        "cell",
-        "anomaly_score",
-        F.inline(
-            F.array(
-                F.struct(F.lit("label").alias("kind"), F.col(label).cast("int").alias("y")),
-                F.struct(F.lit("pseudo").alias("kind"), (F.col("anomaly_score") > 0.8).cast("int").alias("y")),
-            )
-        ),
-    )
-    metrics = label_metrics(judged, label="y", by=["cell", "kind"])
-    auc = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("auc")))
-    real = metrics.groupBy("cell").agg(auc("label").alias("label_auc"), auc("pseudo").alias("pseudo_auc"))
+    # both kinds of label in one ranking of the scores
+    judged = scored.withColumns({"label": F.col(label).cast("int"), "pseudo": (F.col("anomaly_score") > 0.8).cast("int")})
+    real = label_aucs(judged, ["label", "pseudo"], by=["cell"])
     spent = nodes.groupBy("cell").agg(F.sum("seconds").alias("fit_seconds"))
     grid = F.array(*[F.struct(F.lit(t).alias("n_estimators"), F.lit(s).alias("max_samples")) for t, s in cells])
     return (

@@ -131,6 +131,23 @@ def label_metrics(
     )
 
 
+def label_aucs(scored: DataFrame, labels: list[str], score: str = "anomaly_score", by: list[str] | None = None) -> DataFrame:
+    """The AUC of ``label_metrics`` for several label columns of the same score, from one ranking: ``by`` and ``<label>_auc``."""
+    by = by or []
+    positive = {f"pos_{i}": F.count_if(F.col(f"_label_{i}") == 1) for i in range(len(labels))}
+    narrow = scored.select(*by, F.col(score).alias("_score"), *[F.col(c).alias(f"_label_{i}") for i, c in enumerate(labels)])
+    counted = counted_values(narrow, "_score", by, positive)
+
+    def auc(pos: str) -> Column:
+        own, total, n = F.col(pos).cast("double"), F.max(f"{pos}_total"), F.max("n_total")
+        before, level = F.col("n_before") - F.col(f"{pos}_before"), F.col("n") - F.col(pos)
+        wins = F.sum(own * (before.cast("double") + level.cast("double") / 2))
+        pairs = total.cast("double") * (n - total).cast("double")
+        return F.when(pairs > 0, wins / pairs).otherwise(0.5)
+
+    return counted.groupBy(*by).agg(*[auc(pos).alias(f"{c}_auc") for pos, c in zip(positive, labels, strict=True)])
+
+
 def flag_metrics(
     scored: DataFrame, threshold: float = 0.8, score: str = "anomaly_score", label: str = "is_cheat", by: list[str] | None = None
 ) -> DataFrame:

@@ -204,3 +204,16 @@ def test_flag_metrics_agree_with_label_metrics(spark):
     columns = ["model", "positives", "flagged", "true_positives", "precision", "recall", "f1"]
     one, other = (m(rows, 0.8, by=["model"]).select(columns).orderBy("model").collect() for m in (S.flag_metrics, S.label_metrics))
     assert one == other and one[1].f1 == 0.0 and one[0].positives == 2
+
+
+def test_aucs_of_several_labels_take_one_ranking(spark):
+    """Each label's AUC equals that of ``label_metrics``, from one row per distinct score and group."""
+    from ordersight.operators import scores as S
+
+    data = [(i % 2, (i * 7 % 13) / 13 if i % 5 else None, i * 11 % 3 % 2 if i % 7 else None, int(i > 40), 0) for i in range(60)]
+    rows = spark.createDataFrame(data, "g int, s double, a int, b int, none int")
+    got = {r.g: r for r in S.label_aucs(rows, ["a", "b", "none"], "s", ["g"]).collect()}
+    for label in ("a", "b", "none"):
+        for r in S.label_metrics(rows, score="s", label=label, by=["g"]).collect():
+            assert abs(got[r.g][f"{label}_auc"] - r.auc) < 1e-12
+    assert len(got) == 2 and got[0].none_auc == 0.5
