@@ -17,8 +17,9 @@ Two linked sets that are not equal share a key. A candidate must pass bounds on
 symmetric difference (each set carries the parity of its tokens in 512 buckets; bits that differ
 cannot exceed the difference), then it is verified exactly. To find components without all pairs of a
 group, keys link their members with leaders first, which all keys choose alike; keys whose members are
-one component are done. Rounds with more leaders follow until hardly any partners in other components are
-left, and those are all verified. What is collected is the sketch, whose size is fixed; it decides the order,
+one component are done. Rounds with more leaders follow until few partners in other components pass the
+bounds, and those are all verified; a sample of the partners tells how many there are, so that what is
+compared grows with the postings and not with the square of a group. What is collected is the sketch, whose size is fixed; it decides the order,
 never the result.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. Fewer words than a shingle form one token; without words
@@ -45,7 +46,8 @@ from ordersight.session import cut
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
-FEW_PARTNERS = 64  # partners in other components for an average posting, from which on all are looked at
+FEW_PARTNERS = 4  # possible partners in other components for an average posting, from which on all are looked at
+PROBED = 64  # partners of an average posting that are looked at to tell how many are possible
 MORE_LEADERS = 16  # times as many leaders in each round
 PARITY_WORDS = 8
 WIDE_WORDS = 64  # of the second parity, for candidates only
@@ -281,25 +283,37 @@ class _Join:
         joined = postings.join(partners, (F.col("key") == F.col("_key")) & of_other & self.possible())
         return joined.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
+    def possible_partners(self, postings: DataFrame, rows: int, cross: float) -> float:
+        """About how many of the ``cross`` pairs of postings in different components pass the bounds."""
+        share = min(1.0, PROBED * rows / cross)
+        probed = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)
+        some = postings.filter(probed).select(*[F.col(c).alias(f"_{c}") for c in ("key", "n", "comp", *BITS)])
+        met = (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & self.possible()
+        return postings.join(some, met).count() / share
+
     def run(self) -> DataFrame:
         """``node, comp`` of the classes with links.
 
         Leaders are the nodes of least hash, the same for all keys of a group. Every round compares what a
         key still holds outside a leader's component with its leaders: one at first, then more and more, until
-        so few partners are left that all are compared. Nodes that have joined a component meet none of it again.
+        so few possible partners are left that all are compared. Nodes that have joined a component meet none of
+        it again.
         """
-        postings, columns = self.postings().withColumn("comp", F.col("node")), ("key", "node", "n", "comp", *BITS)
-        leaders, found = 1, None
+        written, columns = self.postings(), ("key", "node", "n", "comp", *BITS)
+        postings, leaders, found = written.withColumn("comp", F.col("node")), 1, None
         while True:
             sizes = postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
             sizes = sizes.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("c * c > same")
             several = postings.join(sizes.select("key", "c", (F.col("c") * F.col("c") - F.col("same")).alias("cross")), "key")
-            open_, postings = postings, cut(several)
-            release(open_)
+            closed, written = written, cut(several)
+            release(closed)
+            postings = written
             state = postings.agg(F.count(F.lit(1)), F.sum(F.col("cross") / F.col("c")), F.max("c")).first()
             if not state[0]:
                 return found if found is not None else cut(components(self.no_links()))
             every = state[1] <= FEW_PARTNERS * state[0] or leaders >= state[2]
+            if not every and leaders > 1:
+                every = self.possible_partners(postings, state[0], state[1]) <= FEW_PARTNERS * state[0]
             other = postings.select("c", *[F.col(c).alias(f"_{c}") for c in columns])
             if every:
                 chosen, once = other, F.col("comp") < F.col("_comp")
@@ -320,9 +334,8 @@ class _Join:
             if every:
                 return found
             labels = found.withColumnRenamed("comp", "_new")
-            relabelled = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("_new", "comp"))
-            closed, postings = postings, cut(relabelled.select(*columns))
-            release(closed)
+            relabelled = postings.join(_small(labels), "node", "left").withColumn("comp", F.coalesce("_new", "comp"))
+            postings = relabelled.select(*columns)
             leaders *= MORE_LEADERS
 
     def no_links(self) -> DataFrame:

@@ -234,3 +234,38 @@ def test_keep_first_judges_rows_not_ids(spark):
     assert kept.columns == frame.columns
     found = Counter((r.doc_id, r.text) for r in kept.collect())
     assert found == Counter([(3, a), (5, b), (7, ""), (7, None), (None, a), (8, "c d"), (8, "e f")])
+
+
+def near_copies(n: int, words: int) -> list[tuple[int, str]]:
+    base = [f"w{x}" for x in range(words)]
+    return [(i, " ".join([*base[: 3 * i + 1], f"n{i}", *base[3 * i + 2 :]])) for i in range(n)]
+
+
+def counted_checks(monkeypatch) -> list[int]:
+    """How many pairs each call of ``check`` is given from now on."""
+    given, check = [], jaccard._Join.check
+
+    def counting(self, pairs):
+        given.append(pairs.count())
+        return check(self, pairs)
+
+    monkeypatch.setattr(jaccard._Join, "check", counting)
+    return given
+
+
+def test_jaccard_compares_a_group_with_its_leaders_first(spark, monkeypatch):
+    """Copies that all link are not compared with one another: their pairs grow with the square of the group."""
+    given, n = counted_checks(monkeypatch), 60
+    found = jaccard.near_duplicates(spark.createDataFrame(near_copies(n, 200), "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0}
+    assert sum(given) < n * (n - 1) / 4
+
+
+def test_jaccard_ends_where_no_partner_is_possible(spark, monkeypatch):
+    """A large group that shares a passage and links with nothing takes no rounds with more and more leaders."""
+    monkeypatch.setattr(jaccard, "RARE", 1000)
+    given, passage = counted_checks(monkeypatch), " ".join(f"p{i}" for i in range(40))
+    docs = [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(40))) for i in range(120)]
+    found = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+    assert len(given) <= 2
