@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.llm import tokens
+from ordersight.session import cut, text_batches
 
 WINDOW = 13
 SHINGLE = 5
@@ -180,7 +181,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     for i, block in enumerate(_item_blocks(benchmark, item, item_text)):
         windows = Windows(block)
         counted = docs.select(whole.alias("text")).mapInArrow(_counts(windows), "token long, n long")
-        tally = counted.groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the shingles of one block
+        with text_batches(docs.sparkSession):
+            tally = counted.groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the shingles of one block
         windows.rank({int(np.int64(r["token"]).view(np.uint64)): r["n"] for r in tally})
         parts.append(f"_hits{i}")
         docs = docs.withColumn(parts[-1], F.arrow_udf(lambda t, w=windows: _hits(w, t), HITS)(whole))
@@ -202,9 +204,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Only the rows that are not contaminated, with their columns unchanged."""
+    """Only the rows that are not contaminated, with their columns unchanged; written, because the batches of texts are small."""
     scanned = scan(docs.withColumn("_keep", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, text)
-    return scanned.filter(~F.col("contaminated")).select("_keep.*")
+    with text_batches(docs.sparkSession):
+        return cut(scanned.filter(~F.col("contaminated")).select("_keep.*"))
 
 
 def twin_sql() -> str:

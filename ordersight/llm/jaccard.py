@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ordersight.llm import tokens
 from ordersight.llm.components import components
 from ordersight.llm.scratch import release, unused
-from ordersight.session import cut
+from ordersight.session import cut, text_batches
 
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
@@ -344,8 +344,9 @@ class _Join:
 
 def _members(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
     """``id, n, node, check, component, named``: every row with its component and the node of that component's smallest id."""
-    join = _Join(docs, id, text, width, percent)
-    found = join.run()
+    with text_batches(docs.sparkSession):
+        join = _Join(docs, id, text, width, percent)
+        found = join.run()
     named = join.classes.select("node", "check", "n", "rep").join(found, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
     # a null id names no component; of several nodes with the smallest id the smallest counts

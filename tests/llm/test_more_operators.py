@@ -7,10 +7,12 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ordersight.llm import filter_audit, jaccard, manifest, pieces
+from ordersight import session
+from ordersight.llm import decontamination, filter_audit, jaccard, manifest, pieces
 from ordersight.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -269,3 +271,27 @@ def test_jaccard_ends_where_no_partner_is_possible(spark, monkeypatch):
     found = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r.component_id == r.doc_id for r in found)
     assert len(given) <= 2
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Batches of ten thousand long texts outgrew the memory of an executor; the session's own setting comes back."""
+    before = spark.conf.get(session.ARROW_ROWS)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    with session.text_batches(spark):
+        assert max(r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()) <= session.TEXT_ROWS
+    during = []
+
+    def recording(df):
+        during.append(int(spark.conf.get(session.ARROW_ROWS)))
+        return session.cut(df)
+
+    monkeypatch.setattr(decontamination, "cut", recording)
+    item = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, item), (2, "other words"), (3, None)], "doc_id long, text string")
+    kept = decontamination.drop_contaminated(docs, spark.createDataFrame([("a", item)], "item_id string, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert during == [session.TEXT_ROWS] and spark.conf.get(session.ARROW_ROWS) == before
