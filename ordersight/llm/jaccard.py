@@ -11,9 +11,12 @@ all documents.
   be neighbours in both orders. Neighbouring frequent tokens of the extended prefix are indexed as
   2-token combinations, which are as many as the prefix is long.
 
-The sketch tells frequent from rare; within each of both, tokens are ordered by their hash.
+The sketch tells frequent from rare and orders both by steps of their counts; tokens of one step are ordered
+by their hash.
 
-Two linked sets that are not equal share a key. A candidate must pass bounds on its sizes and on the
+Two linked sets that are not equal share a key. Of keys with the same members one is kept, and two members
+of a key are not compared there if the key before it is the same for both: they met at that one. So a pair
+is met once for each run of keys that it shares, not once for each key. A candidate must pass bounds on its sizes and on the
 symmetric difference (each set carries the parity of its tokens in 512 buckets; bits that differ
 cannot exceed the difference), then it is verified exactly. To find components without all pairs of a
 group, keys link their members with leaders first, which all keys choose alike; keys whose members are
@@ -45,9 +48,10 @@ from ordersight.session import cut, text_batches
 
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
+FREQUENT = 128  # level from which tokens are frequent
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
 FEW_PARTNERS = 4  # possible partners in other components for an average posting, from which on all are looked at
-PROBED = 64  # partners of an average posting that are looked at to tell how many are possible
+PROBED = 16  # partners of an average posting that are looked at to tell how many are possible
 MORE_LEADERS = 16  # times as many leaders in each round
 PARITY_WORDS = 8
 WIDE_WORDS = 64  # of the second parity, for candidates only
@@ -97,9 +101,11 @@ def unshared(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100
 
 
-def index_keys(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set: rare prefix tokens, then combinations of neighbouring frequent ones."""
+def index_keys(own: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """Index keys of a set of tokens of these levels: rare prefix tokens, then combinations of neighbouring frequent ones."""
     loss = unshared(len(own), percent)
+    order = np.argsort(level, kind="stable")
+    own, frequent = own[order], level[order] >= FREQUENT
     rare = own[~frequent]
     if len(rare) > loss:
         return rare[: loss + 1]
@@ -133,24 +139,34 @@ def _added(x: bytes, y: bytes) -> bytes:
     return zlib.compress(total.tobytes(), 1)
 
 
-def frequent_buckets(texts: DataFrame, width: int) -> bytes:
-    """Bit per sketch bucket: whether its tokens count as frequent; from all sets of ``texts``."""
+def levels_of(total: np.ndarray) -> np.ndarray:
+    """Level of each bucket from its count: steps of half a standard deviation of chance, ``FREQUENT`` and above if frequent."""
+    mean = total.mean()
+    above = np.maximum(total - mean, 0.0)
+    rare = above <= RARE
+    low = np.minimum(2 * above / max(1.0, mean) ** 0.5, FREQUENT - 1)
+    high = np.minimum(FREQUENT + 8 * np.log2(np.maximum(above, RARE) / RARE), 255)
+    return np.where(rare, low, high).astype(np.uint8)
+
+
+def bucket_levels(texts: DataFrame, width: int) -> bytes:
+    """Level of the tokens of each sketch bucket, from the counts in all sets of ``texts``."""
     parts = texts.mapInArrow(_sketch(width), "sketch binary").rdd.map(lambda row: bytes(row[0]))
     empty = zlib.compress(np.zeros(1 << SKETCH_BITS, np.uint32).tobytes(), 1)
     total = np.frombuffer(zlib.decompress(parts.treeAggregate(empty, _added, _added, 3)), np.uint32)
-    return np.packbits(total > total.mean() + RARE).tobytes()
+    return zlib.compress(levels_of(total).tobytes(), 1)
 
 
-def _prepare(width: int, percent: int, flags: bytes):
+def _prepare(width: int, percent: int, levels: bytes):
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, shift = tokens.powers(), U(64 - SKETCH_BITS)
-        common = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+        level = np.frombuffer(zlib.decompress(levels), np.uint8)
         for batch in batches:
             done = 0
             for block in tokens.words(batch.column(1)):
                 rows = []
                 for own in shingle_sets(block, block.hashes(powers), width):
-                    keys = index_keys(own, common[(own >> shift).astype(np.int64)], percent) if len(own) else own
+                    keys = index_keys(own, level[(own >> shift).astype(np.int64)], percent) if len(own) else own
                     rows.append((len(own), *signature(own), parity(own), keys.view(np.int64)))
                 sizes, first, second, odd, keys = zip(*rows, strict=True)
                 bits = [pa.array(column) for column in np.stack(odd, 1)]
@@ -209,9 +225,9 @@ class _Join:
         self.width, self.percent = width, percent
         self.kind = docs.schema[id].dataType.simpleString()
         self.docs = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-        flags = frequent_buckets(self.docs.select("text"), width)
+        levels = bucket_levels(self.docs.select("text"), width)
         layout = f"id {self.kind}, n long, node long, check long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS)
-        rows = cut(self.docs.mapInArrow(_prepare(width, percent, flags), layout))
+        rows = cut(self.docs.mapInArrow(_prepare(width, percent, levels), layout))
         filled = rows.filter("n > 0")
         self.classes = cut(
             filled.groupBy("node", "check", "n").agg(
@@ -223,12 +239,21 @@ class _Join:
         self.pairs: list[DataFrame] = []
 
     def postings(self) -> DataFrame:
-        """``key, node, n`` and parities for the keys that two classes or more share; the classes lose their keys."""
+        """``key, before, node, n`` and parities for the keys that two classes or more share; the classes lose their keys.
+
+        Of keys with the same members one is left. ``before`` is the node's previous key, less shared keys first.
+        """
         full = self.classes
         every = full.select(F.explode("keys").alias("key"), "node")
         shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
         shared = cut(every.join(shared, "key", "left_semi"))
-        postings = cut(shared.join(full.select("node", "n", *BITS), "node"))
+        members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+        kept = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *members)
+        kept = kept.groupBy("c", "m0", "m1").agg(F.min("key").alias("key")).select("key", "c")
+        own = shared.join(kept, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("own"))
+        listed = own.select("node", F.col("own.key").alias("own")).select("node", "own", F.posexplode("own").alias("at", "key"))
+        listed = listed.select("node", "key", F.get("own", F.col("at") - 1).alias("before"))
+        postings = cut(listed.join(full.select("node", "n", *BITS), "node"))
         self.classes = cut(full.select("node", "check", "n", "rep"))
         release(full)
         release(shared)
@@ -278,17 +303,22 @@ class _Join:
         differ = reduce(Column.__add__, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in BITS])
         return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (differ <= self.most_different())
 
+    @staticmethod
+    def first_met() -> Column:
+        """Whether two postings of a key come from different keys: what shares the key before is a pair there already."""
+        return F.col("before").isNull() | F.col("_before").isNull() | (F.col("before") != F.col("_before"))
+
     def pairs_of(self, postings: DataFrame, partners: DataFrame, of_other: Column) -> DataFrame:
         """Possible pairs of postings with partners of the same key, smaller node first, once each."""
         joined = postings.join(partners, (F.col("key") == F.col("_key")) & of_other & self.possible())
         return joined.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
     def possible_partners(self, postings: DataFrame, rows: int, cross: float) -> float:
-        """About how many of the ``cross`` pairs of postings in different components pass the bounds."""
+        """About how many of the ``cross`` pairs of postings in different components are compared if all are."""
         share = min(1.0, PROBED * rows / cross)
         probed = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)
-        some = postings.filter(probed).select(*[F.col(c).alias(f"_{c}") for c in ("key", "n", "comp", *BITS)])
-        met = (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & self.possible()
+        some = postings.filter(probed).select(*[F.col(c).alias(f"_{c}") for c in ("key", "before", "n", "comp", *BITS)])
+        met = (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & self.first_met() & self.possible()
         return postings.join(some, met).count() / share
 
     def run(self) -> DataFrame:
@@ -299,7 +329,7 @@ class _Join:
         so few possible partners are left that all are compared. Nodes that have joined a component meet none of
         it again.
         """
-        written, columns = self.postings(), ("key", "node", "n", "comp", *BITS)
+        written, columns = self.postings(), ("key", "before", "node", "n", "comp", *BITS)
         postings, leaders, found = written.withColumn("comp", F.col("node")), 1, None
         while True:
             sizes = postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
@@ -316,14 +346,15 @@ class _Join:
                 every = self.possible_partners(postings, state[0], state[1]) <= FEW_PARTNERS * state[0]
             other = postings.select("c", *[F.col(c).alias(f"_{c}") for c in columns])
             if every:
-                chosen, once = other, F.col("comp") < F.col("_comp")
+                chosen, once = other, (F.col("comp") < F.col("_comp")) & self.first_met()
             elif leaders == 1:
                 by = F.struct(F.xxhash64("_node").alias("by"), *[F.col(f"_{c}") for c in columns[1:]])
                 chosen = other.groupBy("_key").agg(F.min(by).alias("top")).select("_key", "top.*")
                 once = F.col("comp") != F.col("_comp")
             else:
                 share = F.pmod(F.xxhash64("_node"), F.lit(1 << 20)) / (1 << 20)
-                chosen, once = other.filter(share * F.col("c") < leaders), F.col("comp") != F.col("_comp")
+                # a leader of a key also leads its keys before, which hold fewer
+                chosen, once = other.filter(share * F.col("c") < leaders), (F.col("comp") != F.col("_comp")) & self.first_met()
             done = self.check(self.pairs_of(postings, chosen.drop("c"), once))
             links = done.filter("linked").select("a", "b")
             # what is known as one star for each component, and the new links

@@ -273,6 +273,26 @@ def test_jaccard_ends_where_no_partner_is_possible(spark, monkeypatch):
     assert len(given) <= 2
 
 
+def test_jaccard_meets_a_pair_at_few_keys(spark):
+    """Of keys with the same members one is kept, and a pair is met once a run of shared keys, not at each of them."""
+    frame = spark.createDataFrame(near_copies(40, 300), "doc_id long, text string")
+    postings = jaccard._Join(frame, "doc_id", "text", 4, 85).postings()
+    members = postings.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("own"))
+    assert members.count() == members.select("own").distinct().count()
+    other = postings.select(*[F.col(c).alias(f"_{c}") for c in ("key", "before", "node")])
+    met = postings.join(other, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")))
+    first = met.filter(jaccard._Join.first_met())
+    assert first.count() < met.count() / 2
+    assert first.select("node", "_node").distinct().count() == met.select("node", "_node").distinct().count()
+
+
+def test_jaccard_indexes_the_rarest_tokens():
+    """Tokens that many sets share came first if their hash was small, and joined sets that cannot link."""
+    own = np.arange(100, dtype=np.uint64)
+    level = jaccard.levels_of(np.where(own < 90, 50, 1))
+    assert set(jaccard.index_keys(own, level, 85).tolist()) == {*range(90, 100), *range(6)}
+
+
 def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     """Batches of ten thousand long texts outgrew the memory of an executor; the session's own setting comes back."""
     before = spark.conf.get(session.ARROW_ROWS)
