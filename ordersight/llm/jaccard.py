@@ -15,8 +15,8 @@ The sketch tells frequent from rare and orders both by steps of their counts; to
 by their hash.
 
 Two linked sets that are not equal share a key. Of keys with the same members one is kept, and two members
-of a key are not compared there if the key before it is the same for both: they met at that one. So a pair
-is met once for each run of keys that it shares, not once for each key. A candidate must pass bounds on its sizes and on the
+of a key are not compared there if they share one of the ``BEFORE`` keys before it: they met at that one or
+earlier. So a pair is met again only after ``BEFORE`` keys in a row that it does not share. A candidate must pass bounds on its sizes and on the
 symmetric difference (each set carries the parity of its tokens in 512 buckets; bits that differ
 cannot exceed the difference), then it is verified exactly. To find components without all pairs of a
 group, keys link their members with leaders first, which all keys choose alike; keys whose members are
@@ -50,7 +50,9 @@ SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
 FREQUENT = 128  # level from which tokens are frequent
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
-FEW_PARTNERS = 4  # possible partners in other components for an average posting, from which on all are looked at
+FEW_PARTNERS = 4  # partners in other components for an average posting, from which on all are looked at
+BEFORE = 16  # keys before its own that a posting carries; a pair that shares one of them is not met again
+FEW_MET = 0.25  # pairs met and possible for an average posting, up to which all are compared
 PROBED = 16  # partners of an average posting that are looked at to tell how many are possible
 MORE_LEADERS = 16  # times as many leaders in each round
 PARITY_WORDS = 8
@@ -241,7 +243,7 @@ class _Join:
     def postings(self) -> DataFrame:
         """``key, before, node, n`` and parities for the keys that two classes or more share; the classes lose their keys.
 
-        Of keys with the same members one is left. ``before`` is the node's previous key, less shared keys first.
+        Of keys with the same members one is left. ``before`` are the node's previous keys, less shared keys first.
         """
         full = self.classes
         every = full.select(F.explode("keys").alias("key"), "node")
@@ -252,7 +254,8 @@ class _Join:
         kept = kept.groupBy("c", "m0", "m1").agg(F.min("key").alias("key")).select("key", "c")
         own = shared.join(kept, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("own"))
         listed = own.select("node", F.col("own.key").alias("own")).select("node", "own", F.posexplode("own").alias("at", "key"))
-        listed = listed.select("node", "key", F.get("own", F.col("at") - 1).alias("before"))
+        before = F.slice("own", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least("at", F.lit(BEFORE)))
+        listed = listed.select("node", "key", before.alias("before"))
         postings = cut(listed.join(full.select("node", "n", *BITS), "node"))
         self.classes = cut(full.select("node", "check", "n", "rep"))
         release(full)
@@ -305,12 +308,12 @@ class _Join:
 
     @staticmethod
     def first_met() -> Column:
-        """Whether two postings of a key come from different keys: what shares the key before is a pair there already."""
-        return F.col("before").isNull() | F.col("_before").isNull() | (F.col("before") != F.col("_before"))
+        """Whether two postings of a key share none of their keys before: what shares one is a pair there already."""
+        return ~F.arrays_overlap("before", "_before")
 
     def pairs_of(self, postings: DataFrame, partners: DataFrame, of_other: Column) -> DataFrame:
         """Possible pairs of postings with partners of the same key, smaller node first, once each."""
-        joined = postings.join(partners, (F.col("key") == F.col("_key")) & of_other & self.possible())
+        joined = postings.join(partners, (F.col("key") == F.col("_key")) & self.possible() & of_other)
         return joined.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
     def possible_partners(self, postings: DataFrame, rows: int, cross: float) -> float:
@@ -318,7 +321,7 @@ class _Join:
         share = min(1.0, PROBED * rows / cross)
         probed = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)
         some = postings.filter(probed).select(*[F.col(c).alias(f"_{c}") for c in ("key", "before", "n", "comp", *BITS)])
-        met = (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & self.first_met() & self.possible()
+        met = (F.col("key") == F.col("_key")) & self.possible() & (F.col("comp") != F.col("_comp")) & self.first_met()
         return postings.join(some, met).count() / share
 
     def run(self) -> DataFrame:
@@ -343,7 +346,7 @@ class _Join:
                 return found if found is not None else cut(components(self.no_links()))
             every = state[1] <= FEW_PARTNERS * state[0] or leaders >= state[2]
             if not every and leaders > 1:
-                every = self.possible_partners(postings, state[0], state[1]) <= FEW_PARTNERS * state[0]
+                every = self.possible_partners(postings, state[0], state[1]) <= FEW_MET * state[0]
             other = postings.select("c", *[F.col(c).alias(f"_{c}") for c in columns])
             if every:
                 chosen, once = other, (F.col("comp") < F.col("_comp")) & self.first_met()

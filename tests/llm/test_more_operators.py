@@ -286,6 +286,22 @@ def test_jaccard_meets_a_pair_at_few_keys(spark):
     assert first.select("node", "_node").distinct().count() == met.select("node", "_node").distinct().count()
 
 
+def test_jaccard_meets_a_pair_again_only_after_many_keys(spark):
+    """Copies with changes all over share many runs of keys; they were met at each of those."""
+    rng, base, docs = np.random.default_rng(7), [f"w{x}" for x in range(600)], []
+    for i in range(24):
+        own = list(base)
+        for at in rng.choice(600, 12, replace=False):
+            own[at] = f"n{i}x{at}"
+        docs.append((i, " ".join(own)))
+    postings = jaccard._Join(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 4, 85).postings()
+    other = postings.select(*[F.col(c).alias(f"_{c}") for c in ("key", "before", "node")])
+    met = postings.join(other, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")))
+    pairs, first = met.select("node", "_node").distinct().count(), met.filter(jaccard._Join.first_met())
+    assert first.select("node", "_node").distinct().count() == pairs
+    assert first.count() < 1.5 * pairs
+
+
 def test_jaccard_indexes_the_rarest_tokens():
     """Tokens that many sets share came first if their hash was small, and joined sets that cannot link."""
     own = np.arange(100, dtype=np.uint64)
