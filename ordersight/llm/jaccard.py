@@ -49,6 +49,7 @@ from ordersight.session import cut, text_batches
 SKETCH_BITS = 21
 RARE = 64  # a token is frequent if its sketch count exceeds the mean bucket by this
 FREQUENT = 128  # level from which tokens are frequent
+ADDED = 16  # sketches that a task adds up
 SMALL_ROWS = 200_000  # two-column tables up to this many rows (a few megabytes) are broadcast
 FEW_PARTNERS = 4  # partners in other components for an average posting, from which on all are looked at
 BEFORE = 16  # keys before its own that a posting carries; a pair that shares one of them is not met again
@@ -136,9 +137,14 @@ def _sketch(width: int):
     return count
 
 
-def _added(x: bytes, y: bytes) -> bytes:
-    total = np.frombuffer(zlib.decompress(x), np.uint32) + np.frombuffer(zlib.decompress(y), np.uint32)
-    return zlib.compress(total.tobytes(), 1)
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for part in batch.column(0):
+            own = np.frombuffer(zlib.decompress(part.as_buffer()), np.uint32)
+            total = own if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["sketch"])
 
 
 def levels_of(total: np.ndarray) -> np.ndarray:
@@ -153,9 +159,14 @@ def levels_of(total: np.ndarray) -> np.ndarray:
 
 def bucket_levels(texts: DataFrame, width: int) -> bytes:
     """Level of the tokens of each sketch bucket, from the counts in all sets of ``texts``."""
-    parts = texts.mapInArrow(_sketch(width), "sketch binary").rdd.map(lambda row: bytes(row[0]))
-    empty = zlib.compress(np.zeros(1 << SKETCH_BITS, np.uint32).tobytes(), 1)
-    total = np.frombuffer(zlib.decompress(parts.treeAggregate(empty, _added, _added, 3)), np.uint32)
+    parts = cut(texts.mapInArrow(_sketch(width), "sketch binary"))
+    with text_batches(texts.sparkSession, ADDED):
+        while (left := parts.count()) > 1:
+            before, parts = parts, cut(parts.repartition(-(-left // ADDED)).mapInArrow(_added, "sketch binary"))
+            release(before)
+    found = parts.first()
+    release(parts)
+    total = np.frombuffer(zlib.decompress(found[0]), np.uint32) if found else np.zeros(1 << SKETCH_BITS, np.uint32)
     return zlib.compress(levels_of(total).tobytes(), 1)
 
 

@@ -1,6 +1,7 @@
 """The manifest, the SentencePiece encoder and the filter audit against brute force."""
 
 import hashlib
+import zlib
 from collections import Counter
 from itertools import permutations
 from zlib import crc32
@@ -309,6 +310,16 @@ def test_jaccard_indexes_the_rarest_tokens():
     assert set(jaccard.index_keys(own, level, 85).tolist()) == {*range(90, 100), *range(6)}
 
 
+def test_jaccard_adds_sketches_in_the_same_workers(spark, monkeypatch):
+    """An RDD of the sketches kept a second pool of Python workers in every executor."""
+    frame = spark.createDataFrame([(text,) for _, text in near_copies(40, 300)], "text string").repartition(20)
+    parts = [np.frombuffer(zlib.decompress(r[0]), np.uint32) for r in frame.mapInArrow(jaccard._sketch(4), "sketch binary").collect()]
+    monkeypatch.setattr(type(frame), "rdd", property(lambda self: pytest.fail("an RDD")))
+    levels = np.frombuffer(zlib.decompress(jaccard.bucket_levels(frame, 4)), np.uint8)
+    assert len(parts) > jaccard.ADDED and (levels == jaccard.levels_of(np.sum(parts, 0, dtype=np.uint32))).all()
+    assert not any(zlib.decompress(jaccard.bucket_levels(frame.filter("false"), 4)))
+
+
 def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     """Batches of ten thousand long texts outgrew the memory of an executor; the session's own setting comes back."""
     before = spark.conf.get(session.ARROW_ROWS)
