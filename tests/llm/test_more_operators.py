@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordersight import session
-from ordersight.llm import decontamination, filter_audit, jaccard, manifest, pieces
+from ordersight.llm import decontamination, filter_audit, jaccard, language_model, manifest, pieces
 from ordersight.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -342,3 +342,49 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     kept = decontamination.drop_contaminated(docs, spark.createDataFrame([("a", item)], "item_id string, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert during == [session.TEXT_ROWS] and spark.conf.get(session.ARROW_ROWS) == before
+
+
+def test_expected_counts_are_of_whole_texts():
+    """One start a text, however long, and the counts and likelihood of a sum over all paths of states."""
+    random = np.random.default_rng(7)
+    model = language_model._estimate(random.random(2) * 9, random.random((2, 2)) * 9, random.random((3, 2)) * 9)
+    short = [np.array([2, 0, 1, 1, 0], np.uint16), np.array([1, 2], np.uint16)]
+    starts, moves, emitted, total = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), 0.0
+    for row in short:
+        paths = list(np.ndindex(*[2] * len(row)))
+        p = np.array([
+            model.start[z[0]] * np.prod([model.emit[w, s] for w, s in zip(row, z, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(z, z[1:], strict=False)])
+            for z in paths
+        ])
+        total += np.log(p.sum())
+        for z, share in zip(paths, p / p.sum(), strict=True):
+            starts[z[0]] += share
+            np.add.at(moves, (z[:-1], z[1:]), share)
+            np.add.at(emitted, (row, z), share)
+    for got, want in zip(language_model.expected(model, short), (starts, moves, emitted, total), strict=True):
+        np.testing.assert_allclose(got, want, rtol=1e-5)
+    long = random.integers(0, 3, 3000).astype(np.uint16)
+    starts, moves, emitted, total = language_model.expected(model, [short[1], long])
+    np.testing.assert_allclose([starts.sum(), moves.sum(), emitted.sum()], [2, 3000, 3002], rtol=1e-5)
+    np.testing.assert_allclose(total, language_model.log_likelihood(model, [short[1], long]).sum(), rtol=1e-5)
+
+
+def test_language_model_is_fitted_to_all_texts_until_it_gains_no_more(spark):
+    """Texts of two kinds of words, most of them longer than 16,000 words: the fit takes passes over all of them."""
+    random, kinds = np.random.default_rng(8), 2
+    texts = []
+    for i in range(24):
+        stays = random.random(17_000 if i % 8 else 200) < 0.9
+        kind = (np.cumsum(~stays) + i) % kinds
+        texts.append(bytearray((1 + kind * 20 + random.integers(0, 20, len(kind))).astype(np.uint16).tobytes() + b"\0\0"))
+    words = np.arange(1, 41)
+    counts = sum(np.bincount(np.frombuffer(t, np.uint16), minlength=41) for t in texts)
+    shapes = np.zeros(language_model.SHAPES), np.ones(language_model.SHAPES)
+    v = language_model.Vocabulary(words.astype(np.uint64), words, counts[1:], *shapes, 24, int(counts.sum()), 41)
+    encoded = session.cut(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, symbols binary").repartition(3))
+    model = language_model.train(encoded, v, states=2)
+    rows = [np.frombuffer(bytes(t), np.uint16) for t in texts]
+    *counts, before = language_model.expected(model, rows)
+    after = language_model.expected(language_model._estimate(*counts), rows)[3]
+    assert after[0] - before[0] < language_model.TOLERANCE * abs(before[0])
+    np.testing.assert_allclose(model.move, [[0.9, 0.1], [0.1, 0.9]], atol=0.02)
