@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ordersight.session import release
 
-def release(df: DataFrame) -> None:
-    """Delete the folder of a table that was written by ``cut``; nothing may read it any more."""
-    files = df.inputFiles()
-    if not files:
-        return
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["release", "unused"]
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -252,3 +252,24 @@ def test_neighbour_search_compares_few_points(monkeypatch):
     radius = kdtree.mass_radius(x, np.full(len(x), np.inf), x, np.ones(len(x)), 5)
     assert (radius == brute).all() and sum(taken) < 1_300_000
     assert sum(len(a) for a, _, _ in kdtree.pairs_within(x, radius, x)) == 5 * len(x)
+
+
+@pytest.mark.parametrize("novelty", [False, True])
+def test_lof_never_writes_the_pairs_of_neighbours(spark, monkeypatch, novelty):
+    """Tables on disk follow the points, not their twenty neighbours each, and go once they have been read."""
+    import os
+
+    pdf = pd.DataFrame(np.random.default_rng(9).normal(size=(2000, 2)), columns=["x", "y"])
+    pdf.insert(0, "order_id", range(len(pdf)))
+    rows, written = cut(spark.createDataFrame(pdf).repartition(4)), []
+
+    def counted(df):
+        table = cut(df)
+        written.append((table.count(), table.inputFiles()[0].removeprefix("file://")))
+        return table
+
+    monkeypatch.setattr(lof, "cut", counted)
+    got = lof.local_outlier_factor(rows, ["x", "y"], 20, novelty, 500).orderBy("order_id").toPandas()
+    np.testing.assert_allclose(got["lof"], brute_lof(pdf[["x", "y"]].to_numpy(), 20, novelty), rtol=1e-6)
+    assert max(n for n, _ in written) < 8 * len(pdf)
+    assert [os.path.exists(file) for _, file in written] == [False] * (len(written) - 1) + [True]
